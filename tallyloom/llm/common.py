@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _staged: dict[str, SparkSession] = {}
 
@@ -63,6 +65,12 @@ def field(df: DataFrame, name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType if name in df.columns else kind)
 
 
+def batch_of(schema: T.StructType, columns) -> pa.RecordBatch:
+    """A batch for ``mapInArrow``: values, arrays or Arrow columns in the order of ``schema``; nulls keep whole numbers whole."""
+    made = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], schema.names)
+
+
 def parts_for(n: int, each: int) -> int:
     """How many groups keep each near ``each`` rows."""
     return max(1, -(-n // each))
@@ -81,4 +89,4 @@ def texts_in_blocks(texts: list[str | None], limit: int = 2_000_000):
         yield at, len(texts)
 
 
-__all__ = ["F", "T", "DataFrame", "SparkSession", "field", "parts_for", "shared_dir", "stage", "table", "texts_in_blocks", "unstage"]
+__all__ = ["F", "T", "DataFrame", "SparkSession", "batch_of", "field", "parts_for", "shared_dir", "stage", "table", "texts_in_blocks", "unstage"]

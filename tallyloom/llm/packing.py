@@ -18,12 +18,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import F, T, field, parts_for, stage
+from .common import F, T, batch_of, field, parts_for, stage
 from .encode import default_file, encoder
 
 CAPACITY, EOS, GROUP_ROWS, ROUNDS = 1024, 2, 4096, 12
@@ -48,18 +47,11 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
                         col.append(v)
                     row += 1
                     at, to = to, to + capacity
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            yield batch_of(schema, out)
 
-    types, names = [b_type(f) for f in fields], [f.name for f in fields]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def b_type(f: T.StructField) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(f.dataType)
-
-
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """The largest bound on the number of bins from three families of dual feasible functions, in whole numbers."""
     if not len(sizes):
@@ -110,18 +102,22 @@ def _round(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
     """One round: rows with their sequence, whether they stay there, and on one row of each bin whether the partition is certified."""
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in (("sequence_id", T.LongType()), ("offset", T.LongType()), ("stays", T.BooleanType()), ("certified", T.BooleanType()), ("first", T.BooleanType())))])
 
-    def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        sizes = g["length"].to_numpy(np.int64)
+    kept = rows.columns
+
+    def pack(key: tuple, g: pa.Table) -> pa.Table:
+        sizes = g.column("length").to_numpy()
         bins, offsets, room = best_fit(sizes, capacity)
         proved = len(room) <= lower_bound(sizes, capacity)
         stays = room == 0
         if proved:
             stays[:] = True
             stays[int(np.argmax(room))] = room.max() == 0
-        return g.drop(columns="part").assign(sequence_id=(turn << 54) + (int(key[0]) << 22) + bins, offset=offsets, stays=stays[bins], certified=proved, first=offsets == 0)
+        ids = (turn << 54) + (key[0].as_py() << 22) + bins
+        more = {"sequence_id": ids, "offset": offsets, "stays": stays[bins], "certified": np.full(len(bins), proved), "first": offsets == 0}
+        return pa.table({n: g.column(n) for n in kept} | {n: pa.array(v) for n, v in more.items()})
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(pack, schema)
+    return dealt.groupBy("part").applyInArrow(pack, schema)
 
 
 def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
