@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import packing, quality, sharding, tokens, urls
 from .common import table
 
 
@@ -18,7 +18,19 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_quality_cascade)}
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.histogram(table(spark, sf_dir, "documents"))
+
+
+def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules)}
 
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
