@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, sharding, tokens, urls
+from . import neardup, packing, quality, secrets, sharding, tokens, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_battery, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_battery, op3_bagminhash_near_duplicates, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules)}
 
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
