@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality, secrets, sharding, tokens, urls
+from . import decontam, neardup, packing, pii, quality, secrets, sharding, tokens, urls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,11 @@ def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_battery, op3_bagminhash_near_duplicates, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules)}
+def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_battery, op3_bagminhash_near_duplicates, op4_contextual_pii, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules, op10_pigeonhole_decontamination)}
 
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
