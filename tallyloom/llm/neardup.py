@@ -5,10 +5,10 @@
    shingle's weight in the document. A register keeps its earliest point. Two documents agree in a register with the probability of
    their weighted Jaccard similarity, and points later than what every register already has are never drawn.
 2. *Bands.* ``BANDS`` bands of ``ROWS`` registers; documents that agree in a band share a bucket. Equal word sequences are one node.
-3. *Links.* In each bucket all nodes are held against one hub, by exact multiset overlap. Linked nodes form components. Buckets that
-   then still hold several components are either small, and every pair across components is held, or they are refined by a second band
-   (a pair of similar nodes shares many bands) and treated again. So a group of copies costs links in proportion to its size, and no link
-   between components is left out. After ``DEPTH`` refinements what is left is held pair by pair, whatever its size.
+3. *Links.* In each bucket all nodes are held against one hub, by exact multiset overlap; linked nodes form components. Buckets that then
+   still hold several components are held against another hub, for ``TURNS`` turns. In those that stay open every pair across components is
+   held; where these are many for the bucket's size, it is refined by a second band first (similar nodes share many bands). So a group of
+   copies costs links in proportion to its size, and no link between components is left out.
 
 At a similarity of 0.8 a pair shares no band with probability 7e-6, and no second band with 1e-4.
 
@@ -33,7 +33,8 @@ from .textblock import Block, mix
 SHINGLE, BANDS, ROWS = 5, 30, 5
 #: Similarity of at least 4/5, in whole numbers.
 SIMILAR, OF = 4, 5
-SMALL, DEPTH = 32, 3
+#: Turns of stars; a bucket with more than PAIRS pairs across components for each of its nodes is refined before they are all held.
+TURNS, PAIRS = 6, 16
 _STEP, _GOLD = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,39 +165,73 @@ def _held(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     return y.filter((SIMILAR + OF) * common >= SIMILAR * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _open(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """key, node, n, comp of the buckets that hold several components."""
+    if comps is None:
+        return buckets.withColumn("comp", F.col("node"))
+    own = buckets.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    several = own.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key")
+    return stage(own.join(several, "key"), "open")
+
+
+class _Found:
+    """The pairs held so far, the links among them, and the components that these make."""
+
+    def __init__(self, bag: DataFrame):
+        self.bag, self.tried, self.edges, self.comps = bag, None, None, None
+
+    def hold(self, pairs: DataFrame) -> bool:
+        """Hold new pairs against each other; whether one is a link."""
+        new = stage(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        self.tried = new if self.tried is None else self.tried.unionByName(new)
+        linked = stage(_held(new, self.bag), "linked")
+        if linked.isEmpty():
+            return False
+        # Components of components: earlier links count as the stars that they made.
+        stars = linked if self.comps is None else linked.unionByName(self.comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        self.comps = components(stars)
+        return True
+
+    def stars(self, buckets: DataFrame, turns: int) -> DataFrame:
+        """Hold each open bucket against one hub, another one each turn; the buckets that stay open, with components."""
+        left = _open(buckets, self.comps)
+        for turn in range(turns):
+            by = F.xxhash64("node", F.lit(turn))
+            hubs = left.groupBy("key").agg(F.min_by("node", by).alias("hub"), F.min_by("n", by).alias("hub_n"), F.min_by("comp", by).alias("hub_comp"))
+            star = left.join(hubs, "key").filter((F.col("comp") != F.col("hub_comp")) & _near("n", "hub_n"))
+            if not self.hold(star.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()):
+                break
+            left = _open(left.drop("comp"), self.comps)
+            if left.isEmpty():
+                break
+        return left
+
+    def across(self, left: DataFrame) -> None:
+        """Hold every pair of different components that shares a bucket."""
+        both = left.alias("x").join(left.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(_near("x.n", "y.n"))
+        self.hold(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+
+
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Components of nodes (node, comp) from the sketches ``rows``; None where nothing is linked."""
     keyed = rows.filter("node is not null").select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("n", "node").alias("hub_n")).filter("hub < last")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d").select("key")
     # What shares a bucket with another node, from here on.
-    met = stage(keyed.join(shared, "key").select("key", "node", "n", "hub", "hub_n").distinct(), "met")
-    bag = stage(bags(docs).join(met.select("node").distinct(), "node", "left_semi"), "bags")
-    buckets, edges, tried = met, None, None
-    for depth in range(DEPTH + 1):
-        star = buckets.filter(_near("n", "hub_n") & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        star = stage(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "star")
-        found = _held(star, bag)
-        edges = stage(found if edges is None else found.unionByName(edges), "linked")
-        tried = star if tried is None else tried.unionByName(star)
-        comps = components(edges)
-        own = buckets.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_ = own.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("size")).filter("c < d").select("key", "size")
-        left = stage(own.join(open_, "key"), "left")
-        small = left if depth == DEPTH else left.filter(F.col("size") <= SMALL)
-        across = small.alias("x").join(small.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(_near("x.n", "y.n"))
-        pairs = stage(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "across")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            edges = stage(_held(pairs, bag).unionByName(edges), "linked")
-        large = left.filter(F.col("size") > SMALL)
-        if depth == DEPTH or large.isEmpty():
-            break
-        # Large buckets that are still open: each by every other band of its nodes.
-        spread = rows.filter("node is not null").select("node", "bands").join(large.select("node", "n", "key", "comp"), "node")
-        finer = spread.select("node", "n", "comp", F.col("key").alias("old"), F.explode("bands").alias("band")).filter("band <> old").select("node", "n", "comp", F.xxhash64("old", "band").alias("key")).distinct()
-        hubs = finer.groupBy("key").agg(F.min("node").alias("hub"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by("n", "node").alias("hub_n")).filter("c < d").drop("c", "d")
-        buckets = stage(finer.join(hubs, "key").select("key", "node", "n", "hub", "hub_n"), "finer")
-    return components(edges)
+    met = stage(keyed.join(shared, "key").distinct(), "met")
+    found = _Found(stage(bags(docs).join(met.select("node").distinct(), "node", "left_semi"), "bags"))
+    left = found.stars(met, TURNS)
+    # Pairs across components, by bucket: its pairs less those inside a component.
+    each = left.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("size"))
+    heavy = each.filter(F.col("pairs") > PAIRS * F.col("size")).select("key")
+    found.across(left.join(heavy, "key", "left_anti"))
+    large = stage(_open(left.join(heavy, "key").drop("comp"), found.comps), "large")
+    if not large.isEmpty():
+        # Each by every other band of its nodes, one key for both orders of the two bands.
+        spread = rows.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).join(large.select("node", "n", "key"), "node")
+        finer = spread.select("node", "n", F.col("key").alias("old"), F.explode("bands").alias("band")).filter("band <> old")
+        finer = finer.select("node", "n", F.xxhash64(F.least("old", "band"), F.greatest("old", "band")).alias("key")).distinct()
+        found.across(found.stars(stage(finer, "finer"), TURNS))
+    return found.comps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stage(sketch(docs), "sketch")
     comps = links(rows, docs)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    nodes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = nodes.withColumn("comp", F.col("node")) if comps is None else nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = nodes.groupBy("comp").agg(F.min("row").alias("kept"), F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
     of_node = stage(nodes.select("node", "comp").join(classes, "comp").drop("comp"), "classes")
     out = rows.select("row", "doc_id", "node").join(of_node, "node", "left")

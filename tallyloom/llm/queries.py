@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, pii, quality, secrets, sharding, tokens, urls
+from . import decontam, neardup, packing, pii, quality, secrets, sharding, substring, tokens, urls
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(table(spark, sf_dir, "documents"))
 
 
+def op5_gear_chunk_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_battery, op3_bagminhash_near_duplicates, op4_contextual_pii, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules, op10_pigeonhole_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_battery, op3_bagminhash_near_duplicates, op4_contextual_pii, op5_gear_chunk_substrings, op6_quality_cascade, op7_sampled_splitters, op8_token_histogram, op9_url_association_rules, op10_pigeonhole_decontamination)}
 
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

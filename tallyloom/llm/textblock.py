@@ -76,15 +76,26 @@ class Block:
         return np.repeat(np.arange(self.n), self.n_words)
 
     @functools.cached_property
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        size = 1 << max(21, (len(self.chars) + 1).bit_length())
-        up, down = _powers(size)
-        a, b = self.words
+    def _sums(self) -> np.ndarray:
+        up, _ = self._up_down
+        with np.errstate(over="ignore"):
+            return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.chars.astype(np.uint64) + np.uint64(1)) * up[: len(self.chars)])])
+
+    @property
+    def _up_down(self) -> tuple[np.ndarray, np.ndarray]:
+        return _powers(1 << max(21, (len(self.chars) + 1).bit_length()))
+
+    def span_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each stretch from ``a`` to ``b`` in ``chars``; equal stretches have equal hashes wherever they lie."""
+        sums, down = self._sums, self._up_down[1]
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.chars.astype(np.uint64) + np.uint64(1)) * up[: len(self.chars)])])
             return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.span_hashes(*self.words)
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each window of ``k`` words inside one text, and the window's hash."""
         h, n = self.hashes, len(self.hashes)
