@@ -56,10 +56,30 @@ def chunks(b: Block, mean: int = MEAN) -> tuple[np.ndarray, np.ndarray]:
         whole = e - a <= 4 * mean
         pieces = [p for x, y in zip(a[~whole].tolist(), e[~whole].tolist()) for p in _split(h, x, y)]
         a, e = np.sort(np.concatenate([a[whole], [x for x, _ in pieces]])), np.sort(np.concatenate([e[whole], [y for _, y in pieces]]))
+    a, e = _gather(a, e)
     long = e - a >= LEAST
     return a[long], e[long]
 
 
+def _gather(a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join short chunks that follow each other, up to a quarter of ``MOST``; where a hash under the bar repeats, all chunks are short."""
+    short = e - a < LEAST
+    joins = np.concatenate([[False], short[1:] & short[:-1] & (a[1:] == e[:-1])])
+    if not joins.any():
+        return a, e
+    keep = np.ones(len(a), bool)
+    e = e.copy()
+    head = -2
+    for i in np.flatnonzero(joins).tolist():
+        if head < 0 or not joins[i - 1]:
+            head = i - 1
+        if e[i] - a[head] <= MOST // 4:
+            e[head], keep[i] = e[i], False
+        else:
+            head = i
+    return a[keep], e[keep]
+
+
 def _split(h: np.ndarray, a: int, e: int) -> list[tuple[int, int]]:
     """Cut a long stretch without an end where its least hash repeats, a quarter of ``MOST`` apart or more: a word or line said again and
     again is cut at one phase everywhere. One that repeats nothing is cut only beyond ``MOST``."""
