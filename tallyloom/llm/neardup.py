@@ -248,3 +248,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_node = stage(nodes.select("node", "comp").join(classes, "comp").drop("comp"), "classes")
     out = rows.select("row", "doc_id", "node").join(of_node, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.coalesce(F.col("row") == F.col("kept"), F.lit(True)).alias("keep"), "row")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """One document of each class, all columns as they were.
+
+    ``docs`` is read twice and must give its rows in the same partitions and order each time, as a table does.
+    """
+    key = "_row" + "".join(docs.columns)
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    gone = stage(near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).filter("not keep").select(F.col("doc_id").alias(key)), "gone")
+    return keyed.join(gone, key, "left_anti").drop(key)
