@@ -5,12 +5,12 @@
    shingle's weight in the document. A register keeps its earliest point. Two documents agree in a register with the probability of
    their weighted Jaccard similarity, and points later than what every register already has are never drawn.
 2. *Bands.* ``BANDS`` bands of ``ROWS`` registers; documents that agree in a band share a bucket. Equal word sequences are one node.
-3. *Links.* In each bucket all nodes are held against one hub, by exact multiset overlap; linked nodes form components. Buckets that then
-   still hold several components are held against another hub, for ``TURNS`` turns. In those that stay open every pair across components is
-   held; where these are many for the bucket's size, it is refined by a second band first (similar nodes share many bands). So a group of
-   copies costs links in proportion to its size, and no link between components is left out.
+3. *Links.* In each bucket all nodes are held, by exact multiset overlap, against one hub, the node that meets most others; linked nodes
+   form components. Two nodes of a bucket in different components can be similar only if they share a shingle that their hub lacks, or if
+   one is smaller than the hub and both share enough with it; such pairs are held too, whatever their number. Copies of one text differ from it by edits of their own, so
+   a group of copies costs links in proportion to its size, and no link between components is left out.
 
-At a similarity of 0.8 a pair shares no band with probability 7e-6, and no second band with 1e-4.
+At a similarity of 0.8 a pair shares no band with probability 7e-6.
 
 Defined cases: a null or empty text has no words and is a class of its own; a text of one to four words has one shingle, all of it; a null
 ``doc_id`` is kept, and a class whose documents all have none has a null ``class_id``; repeated rows fall into one class; an empty table
@@ -33,8 +33,6 @@ from .textblock import Block, mix
 SHINGLE, BANDS, ROWS = 5, 30, 5
 #: Similarity of at least 4/5, in whole numbers.
 SIMILAR, OF = 4, 5
-#: Turns of stars; a bucket with more than PAIRS pairs across components for each of its nodes is refined before they are all held.
-TURNS, PAIRS = 6, 16
 _STEP, _GOLD = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,10 +164,8 @@ def _held(pairs: DataFrame, bag: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """key, node, n, comp of the buckets that hold several components."""
-    if comps is None:
-        return buckets.withColumn("comp", F.col("node"))
-    own = buckets.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    """The rows of the buckets that hold several components, with their component."""
+    own = buckets.withColumn("comp", F.col("node")) if comps is None else buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = own.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key")
     return stage(own.join(several, "key"), "open")
 
@@ -192,45 +188,45 @@ class _Found:
         self.comps = components(stars)
         return True
 
-    def stars(self, buckets: DataFrame, turns: int) -> DataFrame:
-        """Hold each open bucket against one hub, another one each turn; the buckets that stay open, with components."""
-        left = _open(buckets, self.comps)
-        for turn in range(turns):
-            by = F.xxhash64("node", F.lit(turn))
-            hubs = left.groupBy("key").agg(F.min_by("node", by).alias("hub"), F.min_by("n", by).alias("hub_n"), F.min_by("comp", by).alias("hub_comp"))
-            star = left.join(hubs, "key").filter((F.col("comp") != F.col("hub_comp")) & _near("n", "hub_n"))
-            if not self.hold(star.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()):
-                break
-            left = _open(left.drop("comp"), self.comps)
-            if left.isEmpty():
-                break
-        return left
+    def stars(self, met: DataFrame) -> None:
+        """Hold each node of a bucket against the bucket's hub."""
+        self.hold(met.filter((F.col("node") != F.col("hub")) & _near("n", "hub_n")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
 
     def across(self, left: DataFrame) -> None:
-        """Hold every pair of different components that shares a bucket."""
-        both = left.alias("x").join(left.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(_near("x.n", "y.n"))
-        self.hold(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-
-
-def links(rows: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Components of nodes (node, comp) from the sketches ``rows``; None where nothing is linked."""
-    keyed = rows.filter("node is not null").select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d").select("key")
-    # What shares a bucket with another node, from here on.
-    met = stage(keyed.join(shared, "key").distinct(), "met")
+        """Hold the pairs of different components in a bucket that can be similar.
+
+        Of such a pair one, x, is not similar to the hub h; let all that x and the other, y, share be in h. Then each shares at least as much
+        with h as with the other. If y is no smaller than h, x would be as similar to h as to y. So either they share something that h lacks:
+        nodes meet by what they hold beyond their hub. Or one is smaller than h, and what each shares with h is enough for the pair.
+        """
+        pairs = left.select("node", "hub", "n", "hub_n", "comp").distinct().join(self.bag, "node").withColumnRenamed("bag", "x")
+        pairs = pairs.join(self.bag.select(F.col("node").alias("hub"), F.col("bag").alias("y")), "hub").withColumn("more", F.array_except("x", "y"))
+        own = stage(pairs.select("node", "hub", "n", "hub_n", "comp", (F.size("x") - F.size("more")).alias("common"), "more"), "beyond")
+        beyond = own.filter("n >= hub_n").select("node", "n", "comp", F.explode(F.transform("more", lambda e: F.xxhash64("hub", e))).alias("key"))
+        several = beyond.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key")
+        apart = beyond.join(several, "key")
+        apart = apart.alias("x").join(apart.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(_near("x.n", "y.n"))
+        rows = left.join(own.select("node", "hub", "common"), ["node", "hub"]).filter((SIMILAR + OF) * OF * F.col("common") >= SIMILAR * (SIMILAR + OF) * F.col("n"))
+        enough = (SIMILAR + OF) * F.least("x.common", "y.common") >= SIMILAR * (F.col("x.n") + F.col("y.n"))
+        small = rows.filter("n < hub_n").alias("x").join(rows.alias("y"), "key").filter("x.node <> y.node and x.comp <> y.comp").filter(enough)
+        pairs = [f.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")) for f in (apart, small)]
+        self.hold(pairs[0].unionByName(pairs[1]).distinct())
+
+
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Components (node, comp) of ``nodes`` (node, n, bands); None where nothing is linked."""
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    # What shares a bucket with another node, from here on; ``meets``: how many nodes a node shares buckets with, each time counted.
+    pairs = stage(keyed.join(shared, "key"), "shared")
+    met = pairs.drop("size").join(pairs.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets")), "node")
+    # The hub is the node that meets most others: what a group was copied from meets its copies most.
+    first = -(F.col("meets") + (F.pmod("node", F.lit(1 << 30)) + 1) / float(1 << 31))
+    hubs = met.groupBy("key").agg(F.min_by("node", first).alias("hub"), F.min_by("n", first).alias("hub_n"))
+    met = stage(met.drop("meets").join(hubs, "key"), "met")
     found = _Found(stage(bags(docs).join(met.select("node").distinct(), "node", "left_semi"), "bags"))
-    left = found.stars(met, TURNS)
-    # Pairs across components, by bucket: its pairs less those inside a component.
-    each = left.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("size"))
-    heavy = each.filter(F.col("pairs") > PAIRS * F.col("size")).select("key")
-    found.across(left.join(heavy, "key", "left_anti"))
-    large = stage(_open(left.join(heavy, "key").drop("comp"), found.comps), "large")
-    if not large.isEmpty():
-        # Each by every other band of its nodes, one key for both orders of the two bands.
-        spread = rows.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).join(large.select("node", "n", "key"), "node")
-        finer = spread.select("node", "n", F.col("key").alias("old"), F.explode("bands").alias("band")).filter("band <> old")
-        finer = finer.select("node", "n", F.xxhash64(F.least("old", "band"), F.greatest("old", "band")).alias("key")).distinct()
-        found.across(found.stars(stage(finer, "finer"), TURNS))
+    found.stars(met)
+    found.across(_open(met, found.comps))
     return found.comps
 
 
@@ -241,10 +237,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that stays, its first row.
     """
     rows = stage(sketch(docs), "sketch")
-    comps = links(rows, docs)
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    merged = rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    nodes = stage(merged, "nodes")
+    comps = links(nodes.select("node", "n", "bands"), docs)
+    nodes = nodes.drop("n", "bands")
     nodes = nodes.withColumn("comp", F.col("node")) if comps is None else nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = nodes.groupBy("comp").agg(F.min("row").alias("kept"), F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
+    classes = nodes.groupBy("comp").agg(F.min("row").alias("kept"), F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_rows"))
     of_node = stage(nodes.select("node", "comp").join(classes, "comp").drop("comp"), "classes")
     out = rows.select("row", "doc_id", "node").join(of_node, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.coalesce(F.col("row") == F.col("kept"), F.lit(True)).alias("keep"), "row")
