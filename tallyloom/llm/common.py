@@ -76,7 +76,7 @@ def parts_for(n: int, each: int) -> int:
     return max(1, -(-n // each))
 
 
-def texts_in_blocks(texts: list[str | None], limit: int = 2_000_000):
+def texts_in_blocks(texts: list[str | None], limit: int = 500_000):
     """Yield (first, last) so that a block has about ``limit`` characters; one longer text is its own block."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -65,7 +65,8 @@ def closest(masks: dict[str, int], size: int, text: str, most: int) -> tuple[int
     """Least edits, if at most ``most``, that make the pattern a stretch of ``text``; and the first end of such a stretch."""
     ones = (1 << size) - 1
     top = 1 << (size - 1)
-    up, down, now, best, end = ones, 0, size, most + 1, -1
+    up, down, now = ones, 0, size
+    best, end = min(size, most + 1), 0  # the empty stretch, if all may go
     get = masks.get
     for i, c in enumerate(text):
         eq = get(c, 0)

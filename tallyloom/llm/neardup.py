@@ -70,18 +70,23 @@ def signatures(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, m: int) -
     until = np.where(todo, (np.log(m) + 3) / np.maximum(total, 1), 0)
     while todo.any():
         at = np.flatnonzero(todo[of])
-        t, k = np.zeros(len(at)), np.uint64(0)
+        t, k = np.zeros(len(at)), 0
         while len(at):
-            k += np.uint64(1)
+            # Several draws at once where many are due; added up one by one, so that a point's time is the same number in every document.
+            due = int(np.median((until[of[at]] - t) * m * wide[at]))
+            c = max(1, min(due, 64, 1_000_000 // len(at)))
             with np.errstate(over="ignore"):
-                r = mix(seed[at] + k * _GOLD)
-            t = t - np.log(((r >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / (m * wide[at])
-            on = t <= until[of[at]]
-            at, t, r = at[on], t[on], r[on]
-            cell = low[at] + ((mix(r) >> np.uint64(32)).astype(np.int64) * wide[at] >> 32) * (level[at] > 0)
-            hit = cell < weight[at]
-            reg = ((r & np.uint64(0xFFFFFF)).astype(np.int64) * m) >> 24
-            np.minimum.at(out, of[at[hit]] * m + reg[hit], t[hit])
+                r = mix(seed[at][:, None] + np.arange(k + 1, k + c + 1, dtype=np.uint64)[None, :] * _GOLD)
+            gaps = -np.log(((r >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / (m * wide[at])[:, None]
+            times = np.cumsum(np.hstack([t[:, None], gaps]), axis=1)[:, 1:]
+            on = times <= until[of[at]][:, None]
+            i, j = np.nonzero(on)
+            own, draw = at[i], r[i, j]
+            cell = low[own] + ((mix(draw) >> np.uint64(32)).astype(np.int64) * wide[own] >> 32) * (level[own] > 0)
+            hit = cell < weight[own]
+            reg = ((draw & np.uint64(0xFFFFFF)).astype(np.int64) * m) >> 24
+            np.minimum.at(out, of[own[hit]] * m + reg[hit], times[i, j][hit])
+            at, t, k = at[on[:, -1]], times[on[:, -1], -1], k + c
         todo &= np.isinf(out.reshape(n, m)).any(axis=1)
         until = until * 2
     return out.view(np.uint64).reshape(n, m)

@@ -83,7 +83,7 @@ class Block:
 
     @property
     def _up_down(self) -> tuple[np.ndarray, np.ndarray]:
-        return _powers(1 << max(21, (len(self.chars) + 1).bit_length()))
+        return _powers(1 << max(19, (len(self.chars) + 1).bit_length()))
 
     def span_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each stretch from ``a`` to ``b`` in ``chars``; equal stretches have equal hashes wherever they lie."""
