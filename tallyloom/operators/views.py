@@ -41,7 +41,8 @@ def file_views(files: DataFrame, sections: DataFrame, heads: DataFrame | None, k
     cut = sections.groupBy("sha").agg(F.bool_or("truncated").alias("any_cut"))
     v = files.filter(~paths.is_snapshot(F.col("path"))).join(last, ["sha", "path"], "left").join(skills, "sha", "left").join(cut, "sha", "left")
     if heads is not None:
-        v = v.join(heads.withColumnRenamed("sec_no", "_sec"), (v["sha"] == heads["sha"]) & (v["s.sec_no"] == F.col("_sec")), "left").drop(heads["sha"]).drop("_sec")
+        tops = heads.select("sha", F.col("sec_no").alias("_sec"), "before_head", "after_head")
+        v = v.withColumn("_sec", F.col("s.sec_no")).join(tops, ["sha", "_sec"], "left").drop("_sec")
     else:
         v = v.withColumns({"before_head": F.lit(None).cast("array<string>"), "after_head": F.lit(None).cast("array<string>")})
     st = F.substring(F.lower("status"), 1, 3)
