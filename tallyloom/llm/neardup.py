@@ -24,7 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 from .common import F, T, batch_of, field, stage, texts_in_blocks
 from .graph import components
@@ -207,9 +207,17 @@ class _Found:
         pairs = left.select("node", "hub", "n", "hub_n", "comp").distinct().join(self.bag, "node").withColumnRenamed("bag", "x")
         pairs = pairs.join(self.bag.select(F.col("node").alias("hub"), F.col("bag").alias("y")), "hub").withColumn("more", F.array_except("x", "y"))
         own = stage(pairs.select("node", "hub", "n", "hub_n", "comp", (F.size("x") - F.size("more")).alias("common"), "more"), "beyond")
-        beyond = own.filter("n >= hub_n").select("node", "n", "comp", F.explode(F.transform("more", lambda e: F.xxhash64("hub", e))).alias("key"))
-        several = beyond.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key")
-        apart = beyond.join(several, "key")
+        # A pair's overlap is at most what both share with h and what they share beyond: so much of the latter must be shared (``need``, for the
+        # smallest partner). Of ``m`` things in one order, rarest first, a pair that shares ``need`` shares one of the first ``m - need + 1``.
+        partner = F.greatest("hub_n", F.ceil(F.col("n") * SIMILAR / OF))
+        need = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * SIMILAR / (SIMILAR + OF)) - F.col("common"))
+        sets = own.filter("n >= hub_n").withColumns({"m": F.size("more"), "need": need}).filter("m >= need")
+        beyond = sets.select("node", "hub", "n", "comp", "m", "need", F.explode(F.transform("more", lambda e: F.xxhash64("hub", e))).alias("key"))
+        several = stage(beyond.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("held")).filter("c < d").select("key", "held"), "several")
+        own_set = Window.partitionBy("node", "hub")
+        # What only one component holds is shared by no pair and comes first in the order.
+        apart = beyond.join(several, "key").withColumn("place", F.col("m") - F.count("*").over(own_set) + F.row_number().over(own_set.orderBy("held", "key")))
+        apart = stage(apart.filter("place <= m - need + 1").select("node", "n", "comp", "key"), "apart")
         apart = apart.alias("x").join(apart.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(_near("x.n", "y.n"))
         rows = left.join(own.select("node", "hub", "common"), ["node", "hub"]).filter((SIMILAR + OF) * OF * F.col("common") >= SIMILAR * (SIMILAR + OF) * F.col("n"))
         enough = (SIMILAR + OF) * F.least("x.common", "y.common") >= SIMILAR * (F.col("x.n") + F.col("y.n"))
