@@ -229,13 +229,15 @@ class _Found:
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Components (node, comp) of ``nodes`` (node, n, bands); None where nothing is linked."""
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    # Aggregates are written before they are joined: a join of two plain exchanges is one that Spark splits where a bucket is large.
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     # What shares a bucket with another node, from here on; ``meets``: how many nodes a node shares buckets with, each time counted.
     pairs = stage(keyed.join(shared, "key"), "shared")
     met = pairs.drop("size").join(pairs.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets")), "node")
     # The hub is the node that meets most others: what a group was copied from meets its copies most.
     first = -(F.col("meets") + (F.pmod("node", F.lit(1 << 30)) + 1) / float(1 << 31))
-    hubs = met.groupBy("key").agg(F.min_by("node", first).alias("hub"), F.min_by("n", first).alias("hub_n"))
+    met = stage(met, "counted")
+    hubs = stage(met.groupBy("key").agg(F.min_by("node", first).alias("hub"), F.min_by("n", first).alias("hub_n")), "hubs")
     met = stage(met.drop("meets").join(hubs, "key"), "met")
     found = _Found(stage(bags(docs).join(met.select("node").distinct(), "node", "left_semi"), "bags"))
     found.stars(met)

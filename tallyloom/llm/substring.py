@@ -137,7 +137,8 @@ def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = stage(chunked(docs), "chunks")
     each = rows.select("row", F.posexplode(F.arrays_zip("digest", "start", "end", "low", "high")).alias("at", "c")).select("row", "at", "c.digest", "c.start", "c.end", "c.low", "c.high")
     size = F.xxhash64("digest", F.col("end") - F.col("start"))
-    shared = each.select("row", size.alias("key")).groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").drop("last")
+    # Written first: a join of two plain exchanges is one that Spark splits where a chunk that many documents hold makes a partition large.
+    shared = stage(each.select("row", size.alias("key")).groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").drop("last"), "shared")
     hit = each.select("row", size.alias("key"), "at", "start", "end", "low", "high").join(shared, "key").drop("key")
     order = Window.partitionBy("row").orderBy("at")
     apart = hit.withColumn("new", (F.col("at") - F.lag("at", 1, -2).over(order) > 1).cast("int"))
