@@ -42,12 +42,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the tables that ``stage`` wrote and ``df`` reads, once nothing lazy needs them."""
-    for path in [p for p in _staged if any(p in f for f in df.inputFiles())]:
-        _delete(path, _staged.pop(path))
-
-
 def _delete(path: str, spark: SparkSession) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -89,4 +83,4 @@ def texts_in_blocks(texts: list[str | None], limit: int = 500_000):
         yield at, len(texts)
 
 
-__all__ = ["F", "T", "DataFrame", "SparkSession", "batch_of", "field", "parts_for", "shared_dir", "stage", "table", "texts_in_blocks", "unstage"]
+__all__ = ["F", "T", "DataFrame", "SparkSession", "batch_of", "field", "parts_for", "shared_dir", "stage", "table", "texts_in_blocks"]
