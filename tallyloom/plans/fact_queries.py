@@ -19,7 +19,8 @@ SNAP = "(?i)(^|/)releases/v?[0-9]+(\\.[0-9]+)*([-.][0-9a-z.]+)?/"
 
 def file_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views of the derived files in a mixed repository; old paths and similarity come with the rows, there is no diff."""
-    f = derived.files(spark, sf_dir).filter(~paths.is_snapshot(F.col("path")))
+    # Dealt by commit before the costly classification: the aggregation by commit needs that shuffle anyway.
+    f = derived.files(spark, sf_dir).filter(~paths.is_snapshot(F.col("path"))).repartition("sha")
     f = f.withColumn("git", F.upper(F.substring("status", 1, 1)))
     f = f.withColumn("cls", paths.classify(F.col("path"))).withColumn("src_cls", F.when(F.col("old_path").isNotNull(), paths.classify(F.col("old_path"))))
     none = F.lit(None).cast("array<string>")
