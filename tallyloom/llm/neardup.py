@@ -7,7 +7,7 @@
 2. *Bands.* ``BANDS`` bands of ``ROWS`` registers; documents that agree in a band share a bucket. Equal word sequences are one node.
 3. *Links.* In each bucket all nodes are held, by exact multiset overlap, against one hub, the node that meets most others; linked nodes
    form components. Two nodes of a bucket in different components can be similar only if they share a shingle that their hub lacks, or if
-   one is smaller than the hub and both share enough with it; such pairs are held too, whatever their number. Copies of one text differ from it by edits of their own, so
+   one is smaller than the hub and both share enough with it (a pair of any sizes may do the former); such pairs are held too, whatever their number. Copies of one text differ from it by edits of their own, so
    a group of copies costs links in proportion to its size, and no link between components is left out.
 
 At a similarity of 0.8 a pair shares no band with probability 7e-6.
@@ -202,28 +202,36 @@ class _Found:
 
         Of such a pair one, x, is not similar to the hub h; let all that x and the other, y, share be in h. Then each shares at least as much
         with h as with the other. If y is no smaller than h, x would be as similar to h as to y. So either they share something that h lacks:
-        nodes meet by what they hold beyond their hub. Or one is smaller than h, and what each shares with h is enough for the pair.
+        nodes of every size meet by what they hold beyond their hub. Or one is smaller than h, and what each shares with h is enough for the
+        pair.
         """
         pairs = left.select("node", "hub", "n", "hub_n", "comp").distinct().join(self.bag, "node").withColumnRenamed("bag", "x")
         pairs = pairs.join(self.bag.select(F.col("node").alias("hub"), F.col("bag").alias("y")), "hub").withColumn("more", F.array_except("x", "y"))
         own = stage(pairs.select("node", "hub", "n", "hub_n", "comp", (F.size("x") - F.size("more")).alias("common"), "more"), "beyond")
         # A pair's overlap is at most what both share with h and what they share beyond: so much of the latter must be shared (``need``, for the
         # smallest partner). Of ``m`` things in one order, rarest first, a pair that shares ``need`` shares one of the first ``m - need + 1``.
-        partner = F.greatest("hub_n", F.ceil(F.col("n") * SIMILAR / OF))
-        need = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * SIMILAR / (SIMILAR + OF)) - F.col("common"))
-        sets = own.filter("n >= hub_n").withColumns({"m": F.size("more"), "need": need}).filter("m >= need")
-        beyond = sets.select("node", "hub", "n", "comp", "m", "need", F.explode(F.transform("more", lambda e: F.xxhash64("hub", e))).alias("key"))
+        # Two nodes no smaller than the hub have a partner of the hub's size at least; where one is smaller, the partner may be any near size.
+        def needed(partner: F.Column) -> F.Column:
+            return F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * SIMILAR / (SIMILAR + OF)) - F.col("common"))
+
+        smallest = F.ceil(F.col("n") * SIMILAR / OF)
+        sets = own.withColumns({"m": F.size("more"), "need": needed(smallest), "need_big": needed(F.greatest("hub_n", smallest))}).filter("m >= need")
+        beyond = sets.select("node", "hub", "n", "hub_n", "comp", "common", "m", "need", "need_big", F.explode(F.transform("more", lambda e: F.xxhash64("hub", e))).alias("key"))
         several = stage(beyond.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("held")).filter("c < d").select("key", "held"), "several")
         own_set = Window.partitionBy("node", "hub")
         # What only one component holds is shared by no pair and comes first in the order.
         apart = beyond.join(several, "key").withColumn("place", F.col("m") - F.count("*").over(own_set) + F.row_number().over(own_set.orderBy("held", "key")))
-        apart = stage(apart.filter("place <= m - need + 1").select("node", "n", "comp", "key"), "apart")
-        apart = apart.alias("x").join(apart.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(_near("x.n", "y.n"))
+        apart = stage(apart.filter("place <= m - need + 1").select("node", "n", "comp", "common", "m", "key", (F.col("n") < F.col("hub_n")).alias("low"), (F.col("place") <= F.col("m") - F.col("need_big") + 1).alias("first")), "apart")
+        most = F.least("x.common", "y.common") + F.least("x.m", "y.m")
+        fit = _near("x.n", "y.n") & ((SIMILAR + OF) * most >= SIMILAR * (F.col("x.n") + F.col("y.n")))
+        big = apart.filter("not low and first")
+        big = big.alias("x").join(big.alias("y"), "key").filter("x.node > y.node and x.comp <> y.comp").filter(fit)
+        low = apart.filter("low").alias("x").join(apart.alias("y"), "key").filter("(x.node > y.node or not y.low) and x.comp <> y.comp").filter(fit)
         rows = left.join(own.select("node", "hub", "common"), ["node", "hub"]).filter((SIMILAR + OF) * OF * F.col("common") >= SIMILAR * (SIMILAR + OF) * F.col("n"))
         enough = (SIMILAR + OF) * F.least("x.common", "y.common") >= SIMILAR * (F.col("x.n") + F.col("y.n"))
         small = rows.filter("n < hub_n").alias("x").join(rows.alias("y"), "key").filter("x.node <> y.node and x.comp <> y.comp").filter(enough)
-        pairs = [f.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")) for f in (apart, small)]
-        self.hold(pairs[0].unionByName(pairs[1]).distinct())
+        pairs = [f.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")) for f in (big, low, small)]
+        self.hold(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct())
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:

@@ -51,6 +51,22 @@ def edited_some(rng, text, most=8):
     return " ".join(words)
 
 
+def test_texts_smaller_than_their_hub_meet_by_what_it_lacks(spark):
+    """A pair of 98 shingles, 85 of them the hub's and 95 shared, in one bucket with the hub and its copies."""
+    hub = [f"h{i}" for i in range(104)]
+    copies = [" ".join(hub[:-1] + [f"c{i}"]) for i in range(6)]
+    tail = [f"p{i}" for i in range(13)]
+    pair = [" ".join(hub[:89] + tail), " ".join(hub[:89] + tail[:10] + ["q0", "q1", "q2"])]
+    larger = [" ".join(hub[:84] + [f"r{i}" for i in range(21)] + [end]) for end in "ab"]
+    texts = [" ".join(hub), *copies, *pair, *larger]
+    docs = documents(spark, [*texts, None])
+    rows = {r["doc_id"]: r for r in neardup.sketch(docs).collect()}
+    made = [(rows[i]["node"], rows[i]["n"], [1, 2, 3] if i == 0 else [1, 2] if i < 6 else [1, 3] if i == 6 else [1]) for i in range(len(texts))]
+    comps = {r["node"]: r["comp"] for r in neardup.links(spark.createDataFrame(made, "node long, n int, bands array<long>"), docs).collect()}
+    got = [comps.get(node, node) for node, _, _ in made]
+    assert [got.index(c) for c in got] == classes(texts) == [0] * 7 + [7, 7, 9, 9]
+
+
 def test_components_in_one_task_and_by_stars(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
