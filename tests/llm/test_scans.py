@@ -42,6 +42,18 @@ def test_secrets_base_spans_and_battery(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_in_assignments_paths_and_without_digits(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    run = lambda chars, n=44: "".join(rng.choice(chars) for _ in range(n))
+    a, b, c, d = run(letters + "0123456789"), run(letters + "0123456789+/", 40), run(letters + "0123456789"), run(letters)
+    name = "AWS_SECRET_ACCESS_KEY"
+    cases = [f"sig={a}", f"{name}={b}", f"some/path_to/{c}", f"see {d} there", f"x={a}==", "the/usual_path/of_words/and_more_words/in_it/again"]
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(spark, [*cases, None])).collect()}
+    at = [4, len(name) + 1, 13, 4, 2]
+    assert [out[i] for i in range(6)] == [f"random:{x}:{x + n}" for x, n in zip(at, (44, 40, 44, 44, 46))] + [""]
+
+
 PII = [(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), (2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
