@@ -130,9 +130,10 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, end, chunks, kept: each run of chunks that other documents hold too.
+    """doc_id, start, end, chunks, kept: each run of chunks that other documents hold too, in parts where ``kept`` changes.
 
-    ``kept``: the document is the first that holds every chunk of the run, so its copy stays where the others are cut.
+    ``kept``: the document is the first that holds the chunks of the part, so each chunk's first copy stays where the others are cut. How
+    long a run is is judged before it is parted.
     """
     rows = stage(chunked(docs), "chunks")
     each = rows.select("row", F.posexplode(F.arrays_zip("digest", "start", "end", "low", "high")).alias("at", "c")).select("row", "at", "c.digest", "c.start", "c.end", "c.low", "c.high")
@@ -141,7 +142,11 @@ def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     shared = stage(each.select("row", size.alias("key")).groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").drop("last"), "shared")
     hit = each.select("row", size.alias("key"), "at", "start", "end", "low", "high").join(shared, "key").drop("key")
     order = Window.partitionBy("row").orderBy("at")
-    apart = hit.withColumn("new", (F.col("at") - F.lag("at", 1, -2).over(order) > 1).cast("int"))
-    runs = apart.withColumn("run", F.sum("new").over(order)).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("chunks"), F.bool_and(F.col("first") == F.col("row")).alias("kept"))
-    runs = runs.filter((F.col("high") - F.col("low") >= least_words) & (F.col("end") - F.col("start") >= LEAST_CHARS))
+    kept = F.col("first") == F.col("row")
+    apart = hit.withColumns({"new": (F.col("at") - F.lag("at", 1, -2).over(order) > 1).cast("int"), "kept": kept, "turn": (kept != F.lag(kept, 1).over(order)).cast("int")})
+    apart = apart.withColumns({"run": F.sum("new").over(order), "part": F.sum(F.greatest("new", F.coalesce("turn", F.lit(1)))).over(order)})
+    parts = apart.groupBy("row", "run", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("chunks"), F.first("kept").alias("kept"))
+    whole = Window.partitionBy("row", "run")
+    long = (F.max("high").over(whole) - F.min("low").over(whole) >= least_words) & (F.max("end").over(whole) - F.min("start").over(whole) >= LEAST_CHARS)
+    runs = parts.withColumn("long", long).filter("long")
     return runs.join(rows.select("row", "doc_id"), "row").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "chunks", "kept")

@@ -113,6 +113,23 @@ def test_repeated_passages_found_wherever_they_stand(spark):
     assert substring.repeats(empty(spark)).count() == 0
 
 
+def test_each_chunk_keeps_its_first_copy_beside_a_frequent_line(spark):
+    rng = random.Random(14)
+    line, passage = prose(rng, 60, 5000), prose(rng, 80, 5000)
+    texts = [line] + [f"{prose(rng, 40, 5000)} {line} {passage} {prose(rng, 40, 5000)}" for _ in range(4)]
+    docs = documents(spark, [*texts, None])
+    spots = collections.defaultdict(list)
+    for r in substring.repeats(docs).collect():
+        spots[r["doc_id"]].append((r["start"], r["end"], r["kept"]))
+    cut = []
+    for i, t in enumerate(texts):
+        for a, e, kept in sorted(spots[i], reverse=True):
+            t = t if kept else t[:a] + t[e:]
+        cut.append(t)
+    assert cut[0] == line and sum(passage[30:-30] in t for t in cut) == 1 and passage[30:-30] in cut[1]
+    assert not any(line[30:-30] in t for t in cut[1:]) and {k for _, _, k in spots[1]} == {True, False}
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
