@@ -4,7 +4,9 @@ Spark's FP-growth finds the token combinations of labelled URLs; a rule ``tokens
 reach the floors, if no kept rule with fewer of its tokens is at least as sure, and if it beats the share of blocked URLs.
 Matching goes by an inverted index: each rule is filed under its rarest token, so a URL meets only the rules filed under its own.
 
-Labels come from the caller; ``judge`` takes the URLs that a hand-written rule decides, all of them.
+Labels come from the caller. ``judge`` has none but the verdicts of the hand-written rules, and these pick pages by host and path: a token
+of picked pages alone says nothing of the rest. So undecided pages are mined too, as not blocked, and a rule is sure only if nearly all
+pages with its tokens, undecided ones counted, are blocked by hand. Its support stays a share of the decided pages.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule, has no tokens and is allowed; ties between
 rules of one length go to the first listed; repeated rows are judged once each; an empty table gives no rows; other columns are ignored.
@@ -48,7 +50,7 @@ def tokens(host: F.Column, path: F.Column, url: F.Column) -> F.Column:
 
 
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
-    """Rules from ``tokens`` and ``verdict``: rule_id, needs (array), confidence, support, pruned. Empty where nothing is labelled."""
+    """Rules from ``tokens`` and ``verdict``, where all but ``block`` count against a rule: rule_id, needs (array), confidence, support, pruned. Empty where nothing is labelled."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
@@ -81,7 +83,8 @@ def judge(pages: DataFrame, *, rules=RULES, support: float = SUPPORT, confidence
     rows = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     rows = stage(rows.withColumns({"rule": rule, "verdict": verdict, "tokens": tokens(F.col("host"), F.col("path"), F.col("url"))}), "urls")
-    mined = stage(mine(rows.filter("verdict is not null"), support=support, confidence=confidence, longest=longest), "mined")
+    n, decided = rows.agg(F.count("*"), F.count("verdict")).first()
+    mined = stage(mine(rows, support=support * decided / max(n, 1), confidence=confidence, longest=longest), "mined")
     rest = rows.filter("verdict is null")
     # The index: each rule under the rarest of its tokens among the labelled URLs' counts.
     token = mined.select("rule_id", "needs", "confidence", F.explode("needs").alias("token"))

@@ -160,6 +160,14 @@ def test_urls_rules_and_mined_rules(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_undecided_pages_are_not_blocked_for_how_the_rules_pick(spark):
+    made = [f"http://h{i}.org/{'es' if i % 10 == 0 else 'fr'}/{i}" for i in range(200)] + [f"http://good{i}.example.com/en/7{i}" for i in range(20)]
+    made += [f"http://spam.net/de/{i}" for i in range(40)] + ["http://spam.net/fr/1"]
+    out = urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(made)], "page_id long, url string")).collect()
+    undecided = {r["host"]: r["verdict"] for r in out if r["rule"] is None}
+    assert len(undecided) == 181 and [h for h, v in undecided.items() if v == "block"] == ["spam.net"]
+
+
 def test_mining_keeps_sure_and_short_rules(spark):
     rows = [(["word:spam", "path:a"], "block")] * 20 + [(["word:spam", "path:b"], "block")] * 20 + [(["word:good", "path:a"], "allow")] * 40
     rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.05, confidence=0.9).collect()
