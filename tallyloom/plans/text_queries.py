@@ -71,6 +71,14 @@ def residual_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact_values(p.withColumn("before", redact.has_shape(F.col("text"))), "text").select("doc_id", "before", redact.has_shape(F.col("text")).alias("after"))
 
 
+@registered("residual_shapes_all", f"WITH {_PLANTED} SELECT doc_id, true AS token_before, false AS token_after, false AS shape_after FROM p")
+def residual_shapes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the token planted in each, ``ya29.`` ones too, shows before redaction, and no token or shape afterwards."""
+    token = F.coalesce(F.col("text").rlike("|".join(redact.TOKENS)), F.lit(False))
+    p = planted(spark, sf_dir).withColumn("token_before", token)
+    return redact.redact_values(p, "text").select("doc_id", "token_before", token.alias("token_after"), redact.has_shape(F.col("text")).alias("shape_after"))
+
+
 @registered("parse_reply", """SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'no JSON' WHEN turn % 4 = 1 THEN NULL WHEN turn % 4 = 2 THEN 'record 0: a cap needs a change' ELSE NULL END AS error, CASE WHEN turn % 4 IN (1, 3) THEN 2 WHEN turn % 4 = 2 THEN 0 ELSE 0 END AS n FROM conversations""")
 def parse_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of four forms: no JSON, fenced, incomplete, with a kind twice."""
