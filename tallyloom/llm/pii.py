@@ -5,7 +5,7 @@
    instances of the patterns to their left.
 3. Spark scores the graph of patterns and instances: a pattern's confidence is the mean score of its mentions, an instance's score is the
    confidence of its best pattern; seeds keep 1. ``ROUNDS`` rounds.
-4. Patterns of high confidence that ``SUPPORT`` distinct seeds carry make candidates beside them spans of kind ``context``.
+4. Patterns of high confidence that ``SUPPORT`` distinct seeds or instances trusted in the round before carry make candidates beside them spans of kind ``context``.
 
 All counts are over the whole corpus; they combine before the shuffle, so a common context is no hot spot.
 
@@ -129,13 +129,12 @@ def trusted(found: DataFrame, *, support: int = SUPPORT, confidence: float = CON
     """pattern, confidence: the patterns that may discover."""
     each = found.select(F.explode("mentions").alias("m")).select("m.instance", (F.col("m.kind") < 4).alias("seed"), F.explode("m.patterns").alias("pattern"))
     edges = each.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    seeded = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= support)
-    edges = stage(edges.join(seeded.select("pattern"), "pattern", "left_semi"), "edges")
+    edges = stage(edges, "edges")
     score = None
     for _ in range(rounds):
         own = F.col("seed").cast("double")
         known = edges.withColumn("s", own) if score is None else edges.join(score, "instance", "left").withColumn("s", F.greatest(own, F.coalesce("score", F.lit(0.0))))
-        sure = stage(known.groupBy("pattern").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("confidence")), "patterns")
+        sure = stage(known.groupBy("pattern").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("confidence"), F.count_if(F.col("s") > 0).alias("carried")).filter(F.col("carried") >= support).drop("carried"), "patterns")
         score = edges.filter("not seed").join(sure.filter(F.col("confidence") >= confidence), "pattern").groupBy("instance").agg(F.max("confidence").alias("score"))
     return sure.filter(F.col("confidence") >= confidence)
 

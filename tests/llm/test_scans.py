@@ -95,3 +95,13 @@ def test_pii_contexts_discover(spark):
         assert "[CONTEXT]" in got[8]["text"] and "[PHONE]" in got[0]["text"] and got[10]["text"] == texts[10]
         assert got[0]["n_chars"] == len(got[0]["text"]) and got[11]["text"] is None and len(got) == len(texts)
     assert pii.extract(empty(spark)).count() == 0 and pii.redact(empty(spark)).count() == 0
+
+
+def test_pii_discovered_instances_induce_patterns(spark):
+    rng = random.Random(16)
+    texts = [f"{prose(rng, 9)} member number +1 (555) 010-{1000 + i} and more" for i in range(30)]
+    texts += [f"{prose(rng, 9)} member number QX{i}-77{i}88-Z and more" for i in range(6)]
+    texts += [f"{prose(rng, 9)} staff badge QX{i}-77{i}88-Z and more" for i in range(6)]
+    texts += [f"{prose(rng, 9)} staff badge KL5-99{3}44-Z and more", "an order 12345678 to see"]
+    out = {r["doc_id"]: r["n_context"] for r in pii.extract(documents(spark, [*texts, None])).collect()}
+    assert out[42] == 1 and out[43] == 0
