@@ -38,6 +38,8 @@ SHORTEST = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 #: Parts of a run that fits no encoding: between '=', of base64url, of base64; padding counts at the run's end.
 PARTS = tuple(rf"(?<![A-Za-z{c}])(?=[{c}]*+[A-Za-z])[A-Za-z{c}]{{{SHORTEST},}}+(?:=++\z)?" for c in ("0-9+/_-", "0-9_-", "0-9+/"))
+SPAN, BLOCK = "struct<start:int,k:int,end:int,m:string>", 128
+FAR = 2**31 - 1
 FDR, BINS, CLASSES = 0.05, 400, (24, 32, 48, 64)
 #: Encodings from narrow to wide: pattern of the whole run, alphabet in its order.
 ENCODINGS = (
@@ -52,17 +54,36 @@ ENCODINGS = (
 )
 
 
+def let(value: F.Column, use) -> F.Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _grown(values: F.Column, start: F.Column, op) -> F.Column:
+    """What ``op`` has made of ``start`` and the values before each; each step copies the array, so for short ones."""
+    state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, state, lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+
+def before(values: F.Column, start: int, op) -> F.Column:
+    """For each of the whole numbers what the associative ``op`` makes of those before it; ``start`` is its neutral element.
+
+    Goes by blocks of ``BLOCK`` and the blocks' own results, so that a million values cost no copies of long arrays.
+    """
+    block = lambda vs, i: F.transform(F.sequence(i * BLOCK, F.least(F.size(vs), (i + 1) * BLOCK) - 1), lambda j: F.get(vs, j))
+    blocks = lambda vs: F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / BLOCK).cast("int")), lambda i: block(vs, i))
+    whole = lambda bs: _grown(F.transform(bs, lambda b: F.aggregate(b, F.lit(start), op)), F.lit(start), op)
+    each = lambda bs: F.flatten(F.zip_with(bs, whole(bs), lambda b, at: _grown(b, at, op)))
+    return let(values, lambda vs: F.when(F.size(vs) == 0, F.array().cast("array<int>")).otherwise(let(blocks(vs), each)))
+
+
 def found(text: F.Column, pattern: str, kind: str) -> F.Column:
     """All matches, leftmost and not overlapping: array of (start, kind_no, end, match). The pattern matches no empty string."""
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(KINDS.index(kind)).alias("k"), (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"))).alias("out"),
-    )
-    none = F.array().cast("array<struct<start:int,k:int,end:int,m:string>>")
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+    paired = lambda ms: F.zip_with(F.slice(gaps, 1, F.size(ms)), ms, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"), F.length(m).alias("n")))
+    placed = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("k"), (at + x["gap"] + x["n"]).alias("end"), x["m"].alias("m"))
+    spans = lambda ps: F.zip_with(ps, before(F.transform(ps, lambda x: x["gap"] + x["n"]), 0, lambda u, v: u + v), placed)
+    return let(whole, lambda ms: F.when(F.size(ms) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(let(paired(ms), spans)))
 
 
 def normal_tail(z: F.Column) -> F.Column:
@@ -75,23 +96,37 @@ def normal_tail(z: F.Column) -> F.Column:
 
 
 def battery(m: F.Column, alphabet: F.Column) -> F.Column:
-    """The p-value of a run of characters of ``alphabet``: three times the least of the three tests'."""
-    codes = F.filter(F.transform(F.split(m, ""), lambda c: F.instr(alphabet, c) - 1), lambda v: v >= 0)
-    n, size = F.size(codes).cast("double"), F.length(alphabet).cast("double")
-    squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, v: acc + F.pow(F.size(F.filter(codes, lambda w: w == v)).cast("double"), F.lit(2.0)))
-    chi, free = squares * size / n - n, size - 1
+    """The p-value of a run of characters of ``alphabet``: three times the least of the three tests'.
+
+    The counts come from a few passes over the run as a string, the sum of neighbours' products from one over its characters.
+    """
+    return let(F.rtrim(m, F.lit("=")), lambda body: let(_counted(body, alphabet), _p_value))
+
+
+def _counted(body: F.Column, alphabet: F.Column) -> F.Column:
+    """n, size, squares (of the characters' counts), ones (characters of the alphabet's upper half), runs, cov."""
+    n, size = F.length(body), F.length(alphabet)
+    taken = lambda text, part: F.length(text) - F.length(F.replace(text, part, F.lit("")))
+    squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda acc, c: acc + F.pow(taken(body, c).cast("double"), F.lit(2.0)))
+    low = F.ceil(size / 2).cast("int")
+    halves = F.call_function("translate", body, alphabet, F.concat(F.repeat(F.lit("0"), low), F.repeat(F.lit("1"), size - low)))
+    sides = let(halves, lambda h: F.struct(taken(h, F.lit("1")).alias("ones"), ((taken(h, F.lit("01")) + taken(h, F.lit("10"))) / 2 + 1).alias("runs")))
+    middle = (size - 1) / 2
+    codes = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c) - 1 - middle)
+    beside = lambda c: F.zip_with(F.slice(c, 1, F.greatest(n - 1, F.lit(0))), F.slice(c, 2, F.greatest(n - 1, F.lit(0))), lambda v, w: v * w)
+    cov = let(codes, lambda c: F.aggregate(beside(c), F.lit(0.0), lambda acc, v: acc + v))
+    return F.struct(n.cast("double").alias("n"), size.cast("double").alias("size"), squares.alias("squares"), sides.alias("sides"), cov.alias("cov"))
+
+
+def _p_value(s: F.Column) -> F.Column:
+    n, size, ones, runs = s["n"], s["size"], s["sides"]["ones"].cast("double"), s["sides"]["runs"]
+    chi, free = s["squares"] * size / n - n, size - 1
     # The cube root of chi-squared over its freedom is nearly normal.
     p_chi = normal_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-    up = F.transform(codes, lambda v: (v * 2 >= size).cast("int"))
-    ones = F.aggregate(up, F.lit(0), lambda acc, v: acc + v).cast("double")
-    beside = lambda c, f: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), f)
-    runs = 1 + F.aggregate(beside(up, lambda v, w: (v != w).cast("int")), F.lit(0), lambda acc, v: acc + v)
     both = 2 * ones * (n - ones)
     mean, var = both / n + 1, both * (both - n) / (n * n * (n - 1))
     p_runs = F.when(var > 0, 2 * normal_tail(F.abs((runs - mean) / F.sqrt(var)))).otherwise(0.0)
-    middle = (size - 1) / 2
-    cov = F.aggregate(beside(codes, lambda v, w: (v - middle) * (w - middle)), F.lit(0.0), lambda acc, v: acc + v)
-    p_serial = 2 * normal_tail(F.abs(cov / F.sqrt(n - 1)) / ((size * size - 1) / 12))
+    p_serial = 2 * normal_tail(F.abs(s["cov"] / F.sqrt(n - 1)) / ((size * size - 1) / 12))
     return F.when(n < 2, 0.0).otherwise(F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)))
 
 
@@ -112,10 +147,26 @@ def _parts(runs: F.Column) -> F.Column:
         moved = lambda x, y: F.struct((x["start"] + y["start"]).alias("start"), y["k"].alias("k"), (x["start"] + y["end"]).alias("end"), y["m"].alias("m"))
         return F.flatten(F.transform(c, lambda x: F.transform(found(x["m"], pattern, "random"), lambda y: moved(x, y))))
 
-    between = cut(unfit(runs), PARTS[0])
-    url = cut(unfit(between), PARTS[1])
-    plain = F.filter(cut(unfit(between), PARTS[2]), lambda x: ~F.exists(url, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return F.when(F.size(unfit(runs)) == 0, runs).otherwise(F.concat(fit(runs), fit(between), url, plain))
+    def left_over(mixed: F.Column) -> F.Column:
+        """Parts of base64url, and those of base64 that touch none of them."""
+        url = cut(mixed, PARTS[1])
+        return let(url, lambda u: F.concat(u, apart(cut(mixed, PARTS[2]), u)))
+
+    split = lambda mixed: let(cut(mixed, PARTS[0]), lambda between: F.concat(fit(between), let(unfit(between), left_over)))
+    return let(unfit(runs), lambda mixed: F.when(F.size(mixed) == 0, runs).otherwise(F.concat(fit(runs), split(mixed))))
+
+
+def apart(spans: F.Column, others: F.Column) -> F.Column:
+    """The spans that touch none of the others: in the order of starts, none before reaches beyond a span's start, none after begins
+    before its end."""
+    marked = lambda c, own: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["k"].alias("k"), x["m"].alias("m")))
+    everything = F.array_sort(F.concat(marked(others, False), marked(spans, True)))  # others first where they begin at one place
+    ends = lambda xs: F.transform(xs, lambda x: F.when(x["own"], 0).otherwise(x["end"]))
+    begins = lambda xs: F.transform(F.reverse(xs), lambda x: F.when(x["own"], FAR).otherwise(x["start"]))
+    bounds = lambda xs: F.zip_with(before(ends(xs), 0, lambda u, v: F.greatest(u, v)), F.reverse(before(begins(xs), FAR, lambda u, v: F.least(u, v))), lambda a, b: F.struct(a.alias("low"), b.alias("high")))
+    clear = lambda x, at: F.when(x["own"] & (x["start"] >= at["low"]) & (x["end"] <= at["high"]), F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["m"].alias("m")))
+    out = let(everything, lambda xs: F.filter(F.zip_with(xs, bounds(xs), clear), lambda x: x.isNotNull()))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(out)
 
 
 def _length_class(n: F.Column) -> F.Column:
@@ -123,7 +174,7 @@ def _length_class(n: F.Column) -> F.Column:
 
 
 def scan(docs: DataFrame, *, fdr: float = FDR) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, n_tested for every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     raw = docs.select("doc_id", text.alias("t")).select(
         "doc_id",
@@ -135,7 +186,7 @@ def scan(docs: DataFrame, *, fdr: float = FDR) -> DataFrame:
     )
     base = F.concat("a", "c", "h")
     raw = raw.withColumn("r", _parts(F.col("r")))
-    free = F.filter("r", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = let(base, lambda b: apart(F.col("r"), b))
     tested = F.transform(F.filter(F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), _alphabet(x["m"]).alias("abc"))), lambda x: x["abc"].isNotNull()),
                          lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _length_class(x["end"] - x["start"]).alias("cls"), F.least(F.lit(BINS), F.floor(F.lit(-20.0) * F.log10(F.greatest(battery(x["m"], x["abc"]), F.lit(1e-20))))).cast("int").alias("bin")))
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
@@ -146,7 +197,7 @@ def scan(docs: DataFrame, *, fdr: float = FDR) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return rows.select("doc_id", *(of(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", random)).alias("spans"), F.size(random).cast("long").alias("n_random"))
+    return rows.select("doc_id", *(of(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", random)).alias("spans"), F.size(random).cast("long").alias("n_random"), F.size("tested").cast("long").alias("n_tested"))
 
 
 def thresholds(tested: DataFrame, fdr: float) -> dict[int, int]:
