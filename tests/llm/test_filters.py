@@ -1,5 +1,8 @@
 import collections
+import itertools
+import math
 import random
+import time
 
 from tallyloom.llm import decontam, quality, substring, urls
 from tallyloom.llm.decontam import Index, closest, fold
@@ -174,6 +177,43 @@ def test_mining_keeps_sure_and_short_rules(spark):
     assert [r["needs"] for r in rules] == [["path:b"], ["word:spam"]] or [r["needs"] for r in rules] == [["word:spam"], ["path:b"]]
 
 
+def plain_rules(rows, support, confidence, longest):
+    """needs: confidence of the rules that stay, by definition."""
+    n, share, least = len(rows), sum(v == "block" for _, v in rows) / len(rows), max(1, math.ceil(support * len(rows) - 1e-9))
+    held, blocked = collections.Counter(), collections.Counter()
+    for items, v in rows:
+        for k in range(1, longest + 1):
+            for c in itertools.combinations(sorted(set(items)), k):
+                held[c] += 1
+                blocked[c] += v == "block"
+    sure = {c: blocked[c] / m for c, m in held.items() if blocked[c] >= least and blocked[c] / m >= confidence and blocked[c] / m > share}
+    return {c: p for c, p in sure.items() if not any(sure.get(s, -1) >= p for k in range(1, len(c)) for s in itertools.combinations(c, k))}, n
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = random.Random(31)
+    for case in range(3):
+        rows = [([f"t{rng.randrange(9)}" for _ in range(rng.randint(0, 7))], None) for _ in range(400)]
+        rows = [(list(dict.fromkeys(x)), rng.choice(["block", "allow", None]) if rng.random() < 0.15 else "block" if {"t1", "t2"} <= set(x) or "t3" in x and "t4" not in x else "allow") for x, _ in rows]
+        want, _ = plain_rules(rows, 0.01, 0.8 - 0.1 * case, 4)
+        df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+        for wide in (10, 0):
+            got = {tuple(r["needs"]): r["confidence"] for r in urls.mine(df, support=0.01, confidence=0.8 - 0.1 * case, wide=wide).collect()}
+            assert set(got) == set(want) and len(want) > 2 and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_many_tokens_that_come_together_end_soon(spark):
+    rng = random.Random(32)
+    many = [f"path:s{i}" for i in range(60)]
+    rows = [(many + [f"word:w{rng.randrange(50)}"], "block") for _ in range(200)] + [([f"path:s{rng.randrange(60)}", "word:w1"], "allow") for _ in range(20)]
+    began = time.time()
+    got = {tuple(r["needs"]): r["confidence"] for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()}
+    assert time.time() - began < 30
+    assert got == plain_rules(rows, urls.SUPPORT, urls.CONFIDENCE, 2)[0] and len(got) > 60
+    pages = spark.createDataFrame([(i, "http://h.net/de/" + "/".join(f"s{chr(97 + j % 26)}{'x' * (j // 26)}" for j in range(60))) for i in range(300)], "page_id long, url string")
+    assert urls.judge(pages).filter("verdict = 'block'").count() == 300 and time.time() - began < 60
+
+
 def test_edited_helper_changes_words():
     rng = random.Random(0)
     assert edited(rng, "a b c d", 2) != "a b c d"
