@@ -23,7 +23,7 @@ from .common import F, stage
 
 # Verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-SUPPORT, CONFIDENCE, LONGEST, ITEM, WIDE = 0.002, 0.9, 4, "=block", 10
+SUPPORT, CONFIDENCE, LONGEST, ITEM, WIDE = 0.002, 0.9, 4, "=block", 14
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
