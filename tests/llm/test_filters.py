@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import re
 import time
 
 from tallyloom.llm import decontam, quality, substring, urls
@@ -70,7 +71,7 @@ def test_bit_parallel_distance():
 
 def test_leaks_found_up_to_the_budget_and_no_others(spark):
     rng = random.Random(3)
-    items = [prose(rng, 30, 5000) for _ in range(20)] + [None, "", "short item"]
+    items = [prose(rng, 30, 5000) for _ in range(20)] + [None, "", "  "]
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
     hidden = {}
     texts = []
@@ -94,6 +95,21 @@ def test_leaks_found_up_to_the_budget_and_no_others(spark):
     assert index.roots and decontam.leaks(empty(spark), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_they_are_at_word_edges(spark):
+    rng = random.Random(33)
+    items = ["x", "Éa", "two words", "is 12 of it", "a sentence of twenty-nine chs"]
+    texts = ["x", "xy x-ray, x", "a Two\tWords.", "two  words", "twowords two wordsy", "that IS 12 of it", "so this 12 of it", "ÉA éab", items[4], items[4].replace("y", "i"), "x " * 60_000]
+    texts += [" ".join(rng.choice(["x", "xy", "two", "words", "éa", "12", "is", "of", "it"]) for _ in range(30)) for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontam.leaks(documents(spark, [*texts, None]), bench).collect()}
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            f, x = fold(t), fold(item)
+            want |= {(d, i, p, p + len(x)) for p in (m.start() for m in re.finditer(f"(?={re.escape(x)})", f)) if not f[p - 1 : p].isalnum() and not f[p + len(x) : p + len(x) + 1].isalnum()}
+    assert got == want and len(want) > 60_000
+
+
 def test_repeated_passages_found_wherever_they_stand(spark):
     rng = random.Random(4)
     passage = [prose(rng, rng.randint(55, 90), 5000) for _ in range(15)]
