@@ -25,14 +25,29 @@ from .textblock import BLANKS, Block
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SAMPLE_ROWS = 512
+#: No script with two cases lies beyond.
+CASED = 0x1F000
 
 
+def once(figure: Callable[[Block], np.ndarray]) -> Callable[[Block], np.ndarray]:
+    """A figure of each text that a block computes once, however many rules ask for it."""
+
+    def got(b: Block) -> np.ndarray:
+        if figure.__name__ not in b.known:
+            b.known[figure.__name__] = figure(b)
+        return b.known[figure.__name__]
+
+    return got
+
+
+@once
 def word_chars(b: Block) -> np.ndarray:
     """Code points in words."""
     a, e = b.words
     return np.bincount(b.word_text, weights=e - a, minlength=b.n).astype(np.int64)
 
 
+@once
 def symbols(b: Block) -> np.ndarray:
     c = b.chars
     marks = np.zeros(128, bool)
@@ -40,6 +55,7 @@ def symbols(b: Block) -> np.ndarray:
     return b.per_text(np.flatnonzero(marks[np.minimum(c, 127)] & (c < 127)))
 
 
+@once
 def dup_lines(b: Block) -> np.ndarray:
     """Lines with a word that equal an earlier line of the text."""
     out = np.zeros(b.n, np.int64)
@@ -49,13 +65,15 @@ def dup_lines(b: Block) -> np.ndarray:
     return out
 
 
+@once
 def lines(b: Block) -> np.ndarray:
     return np.array([t.count("\n") + 1 for t in b.texts], np.int64)
 
 
-def repeat_words(b: Block, k: int = 3) -> np.ndarray:
-    """Words in windows of ``k`` words that the text has twice or more."""
-    first, h = b.windows(k)
+@once
+def repeat_words(b: Block) -> np.ndarray:
+    """Words in windows of three words that the text has twice or more."""
+    first, h = b.windows(3)
     if not len(first):
         return np.zeros(b.n, np.int64)
     text = b.word_text[first]
@@ -65,19 +83,20 @@ def repeat_words(b: Block, k: int = 3) -> np.ndarray:
     twice[1:] |= same
     twice[:-1] |= same
     covered = np.zeros(len(b.hashes), bool)
-    for i in range(k):
+    for i in range(3):
         covered[first[order[twice]] + i] = True
     return np.bincount(b.word_text[covered], minlength=b.n)
 
 
-def letters(b: Block) -> tuple[np.ndarray, np.ndarray]:
+@once
+def letters(b: Block) -> np.ndarray:
     """Letters with a case, and those in upper case."""
     global _CASE
     if _CASE is None:
-        chars = [chr(i) for i in range(1 << 16)]
+        chars = map(chr, range(CASED))
         _CASE = np.array([(x.upper() != x.lower()) + (x.isupper()) for x in chars], np.int8)
-    kind = np.where(b.chars < 1 << 16, _CASE[np.minimum(b.chars, (1 << 16) - 1)], 0)
-    return b.per_text(np.flatnonzero(kind > 0)), b.per_text(np.flatnonzero(kind == 2))
+    kind = np.where(b.chars < CASED, _CASE[np.minimum(b.chars, CASED - 1)], 0)
+    return np.array([b.per_text(np.flatnonzero(kind > 0)), b.per_text(np.flatnonzero(kind == 2))])
 
 
 _CASE: np.ndarray | None = None
@@ -111,8 +130,15 @@ RULES = (
 )
 
 
+#: The rules that make up ``base_failed``.
+BASE = ("few_words", "repeated_words")
+
+
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) on about ``rows`` sampled documents; the texts stay on the executors."""
+    """(rule, seconds a text, share rejected) on about ``rows`` documents sampled from all partitions; the texts stay on the executors.
+
+    What all rules share, finding the words, is done before the clock starts.
+    """
     n = docs.count()
     if not n:
         return [(r.name, 0.0, 0.0) for r in rules]
@@ -121,12 +147,15 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, rows: int = SAM
         for f in frames:
             texts = list(f["text"])
             for a, z in texts_in_blocks(texts):
+                parsed = Block(texts[a:z])
+                everything = np.flatnonzero(parsed.n_words >= 0)
                 for r in rules:
+                    b = parsed.take(everything)
                     began = time.perf_counter()
-                    out = r.fails(Block(texts[a:z]))
+                    out = r.fails(b)
                     yield pd.DataFrame({"rule": [r.name], "n": [z - a], "out": [int(out.sum())], "s": [time.perf_counter() - began]})
 
-    some = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=min(1.0, 1.3 * rows / n), seed=seed).limit(rows)
+    some = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=min(1.0, rows / n), seed=seed)
     found = {x["rule"]: x for x in some.mapInPandas(timed, "rule string, n long, out long, s double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("out").alias("out"), F.sum("s").alias("s")).collect()}
     return [(r.name, found[r.name]["s"] / found[r.name]["n"], found[r.name]["out"] / found[r.name]["n"]) if r.name in found else (r.name, 0.0, 0.0) for r in rules]
 
@@ -137,24 +166,23 @@ def ordered(rules: tuple[Rule, ...], measured: list[tuple[str, float, float]]) -
     return tuple(sorted(rules, key=lambda r: (-gain.get(r.name, 0.0), r.name)))
 
 
-def verdicts(texts: list[str | None], rules: tuple[Rule, ...]) -> np.ndarray:
+def verdicts(block: Block, rules: tuple[Rule, ...]) -> np.ndarray:
     """The number of the rule that rejects each text, -1 where none does; a rule sees only what is left."""
-    by, left = np.full(len(texts), -1), np.arange(len(texts))
-    block = Block(texts)
+    by, left = np.full(block.n, -1), np.arange(block.n)
     for k, r in enumerate(rules):
+        if not len(left):
+            break
         out = r.fails(block)
         if out.any():
             by[left[out]] = k
-            left = left[~out]
-            if not len(left):
-                break
-            block = Block([texts[i] for i in left])
+            left, block = left[~out], block.take(np.flatnonzero(~out))
     return by
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every document."""
-    rules = ordered(rules, measure(docs, rules))
+    # The contract's figures are due for every document, so the base rules are answered; the others go in order over what they leave.
+    more = tuple(r for r in ordered(rules, measure(docs, rules)) if r.name not in BASE)
     schema = T.StructType([field(docs, "doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
     def judge(batches):
@@ -164,9 +192,10 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 b = Block(texts[a:z])
                 n, rep = b.n_words, repeat_words(b)
                 failed = (n < LEAST_WORDS) | (100 * rep > MOST_REPEATED * n)
+                chars, marks, dup = word_chars(b), symbols(b), dup_lines(b)
                 kept, rest = ~failed, np.flatnonzero(~failed)
-                kept[rest] = verdicts([b.texts[i] for i in rest], rules) < 0
-                yield batch_of(schema, (f.column(0).slice(a, z - a), n, word_chars(b), symbols(b), dup_lines(b), rep, failed, kept))
+                kept[rest] = verdicts(b.take(rest), more) < 0
+                yield batch_of(schema, (f.column(0).slice(a, z - a), n, chars, marks, dup, rep, failed, kept))
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(judge, schema)
 
@@ -178,7 +207,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def chosen(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            mask = np.concatenate([verdicts(texts[a:z], rules) < 0 for a, z in texts_in_blocks(texts)] or [np.zeros(0, bool)])
+            mask = np.concatenate([verdicts(Block(texts[a:z]), rules) < 0 for a, z in texts_in_blocks(texts)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(mask))
 
     return docs.mapInArrow(chosen, docs.schema)

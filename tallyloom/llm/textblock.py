@@ -42,6 +42,26 @@ class Block:
     def __init__(self, texts: list[str | None]):
         self.texts = [t or "" for t in texts]
         self.n = len(self.texts)
+        #: Figures of each text (the last axis) that were asked for.
+        self.known: dict[str, np.ndarray] = {}
+
+    def take(self, which: np.ndarray) -> Block:
+        """A block of some of the texts, in order, with what is computed of them already."""
+        out = Block([self.texts[i] for i in which])
+        if not out.n:
+            return out
+        out.known = {name: v[..., which] for name, v in self.known.items()}
+        mine = np.zeros(self.n, bool)
+        mine[which] = True
+        if "chars" in self.__dict__:
+            out.chars = self.chars[np.repeat(mine, np.diff(self.starts))]
+        if "words" in self.__dict__:
+            own = mine[self.word_text]
+            moved = (out.starts[np.cumsum(mine) - 1] - self.starts[:-1])[self.word_text[own]]
+            out.words = (self.words[0][own] + moved, self.words[1][own] + moved)
+            if "hashes" in self.__dict__:
+                out.hashes = self.hashes[own]
+        return out
 
     @functools.cached_property
     def chars(self) -> np.ndarray:
