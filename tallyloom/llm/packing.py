@@ -5,7 +5,8 @@
    and compares its number of bins with the largest lower bound that dual feasible functions give for its sizes. A partition that
    meets its bound is certified: no packing of its pieces needs fewer bins.
 3. What can still improve is exchanged: of a partition with a gap, the pieces in bins that are not full; of a certified one, the
-   pieces of its emptiest bin. They are dealt anew to fewer partitions and packed again, until a round saves no bin.
+   pieces of its emptiest bin. They are dealt anew to fewer partitions and packed again, until a round saves no bin
+   or all that is left is one partition.
 
 Each task holds one group of ``group_rows`` slim rows, whatever the corpus; only counts reach the driver.
 
@@ -15,6 +16,7 @@ once each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import F, T, batch_of, field, parts_for, stage
 from .encode import default_file, encoder
 
-CAPACITY, EOS, GROUP_ROWS, ROUNDS = 1024, 2, 4096, 12
+CAPACITY, EOS, GROUP_ROWS = 1024, 2, 4096
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
@@ -120,7 +122,7 @@ def _round(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(pack, schema)
 
 
-def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pack all documents; a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
     ``certified``: the piece's partition met its lower bound when the piece got its place (a full piece always has).
@@ -129,7 +131,7 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
     whole = cut.filter(F.col("length") == capacity).select(*cut.columns, (-1 - F.col("deal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     out, rest = [whole], cut.filter(F.col("length") < capacity)
     n, before, last = rest.count(), None, None
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):
         if not n:
             break
         parts = parts_for(n, group_rows)
