@@ -3,7 +3,7 @@
 1. The key is a hash of the text, then one of the row, so equal texts lie side by side and a large group of them can still be split.
 2. A sample in which each row counts by its size gives splitters at equal steps of bytes; they cut the keys into ranges.
 3. The bytes of each range are summed exactly. A range that is overfull is subdivided by splitters sampled inside it, until none
-   is over its allowance or a range is one row.
+   is over its allowance, or a range is one row or has no splitter that parts it.
 4. Ranges in key order fill the shards; a shard ends where its share of the bytes does.
 5. The slot is the rows of the shard's earlier ranges plus the row's rank in its range, so no task sorts more than one range.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 
 from .common import F, T, batch_of, stage
 
-SHARDS, RANGES, RANGE_ROWS, PER_RANGE, TURNS = 16, 2048, 20_000, 16, 6
+SHARDS, RANGES, RANGE_ROWS, PER_RANGE = 16, 2048, 200_000, 16
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, ranges: int = RANGES, range_
     allowance = max(1, 2 * total // ranges)
     cuts = _quantiles(*_sample(rows, F.lit(ranges * PER_RANGE / max(1, total))), ranges)
     placed = rows
-    for _ in range(TURNS):
+    while True:
         placed = _range_of(rows, cuts)
         sums = placed.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toArrow()
         rng, size, count = (sums.column(i).to_numpy() for i in range(3))
