@@ -1,8 +1,8 @@
 """Personal data: fixed patterns for four kinds, and identifiers that bootstrapped contexts discover.
 
 1. The base entities (email, ip, card, phone) are the seeds.
-2. Seeds induce lexical patterns: the word, and the two words, to their left. Other tokens with ``LEAST_DIGITS`` digits are candidates,
-   instances of the patterns to their left.
+2. Seeds induce lexical patterns: the word, and the two words, to their left. Other tokens with a digit and ``LEAST_SIGNS``
+   letters and digits are candidates, instances of the patterns to their left.
 3. Spark scores the graph of patterns and instances: a pattern's confidence is the mean score of its mentions, an instance's score is the
    confidence of its best pattern; seeds keep 1. ``ROUNDS`` rounds.
 4. Patterns of high confidence that ``SUPPORT`` distinct seeds or instances trusted in the round before carry make candidates beside them spans of kind ``context``.
@@ -32,7 +32,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-LEAST_DIGITS, SUPPORT, CONFIDENCE, ROUNDS = 5, 5, 0.6, 3
+LEAST_SIGNS, SUPPORT, CONFIDENCE, ROUNDS = 4, 5, 0.6, 3
 #: Patterns that a closure carries to the executors at most (8 bytes each); beyond, they are joined.
 CARRIED = 1_000_000
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*")
@@ -80,14 +80,28 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(text: str, start: int) -> list[int]:
-    """The patterns to the left of a place: the last word, the last two."""
-    words = _LEFT.findall(text[max(0, start - 60) : start].lower())[-2:]
-    return [_hash(*words[i:]) for i in range(len(words) - 1, -1, -1)]
+def contexts(text: str, starts: list[int]) -> dict[int, list[int]]:
+    """The patterns to the left of each place (the last word, the last two), however far off; a word ends where another place begins.
+
+    Each stretch between two places is read once, from its end, until it has given two whole words.
+    """
+    out, words, low = {}, [], 0
+    for start in sorted(set(starts)):
+        reach = 64
+        while True:
+            at = max(low, start - reach)
+            new = _LEFT.findall(text, at, start)
+            if at == low or len(new) > 2:
+                break
+            reach *= 4
+        words, low = ([*words, *new] if at == low else new)[-2:], start
+        lower = [w.lower() for w in words]
+        out[start] = [_hash(*lower[i:]) for i in range(len(lower) - 1, -1, -1)]
+    return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with enough digits that no base span touches, without the punctuation around them."""
+    """Tokens with a digit and ``LEAST_SIGNS`` letters and digits that no base span touches, without the punctuation around them."""
     out, taken, k = [], sorted((a, e) for _, a, e in base), 0
     for m in _TOKEN.finditer(text):
         a, e = m.span()
@@ -97,12 +111,20 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             e -= 1
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if any(x < e and a < y for x, y in taken[max(0, k - 1) : k + 8]) or sum(map(str.isdigit, text[a:e])) < LEAST_DIGITS:
+        if k < len(taken) and taken[k][0] < e or sum(map(str.isalnum, text[a:e])) < LEAST_SIGNS:
             continue
         out.append((a, e))
     return out
 
 
+def _mentions(text: str) -> list[tuple[int, int, int, list[int]]]:
+    """Base spans and candidates with the patterns to their left."""
+    base = base_spans(text)
+    own = base + [(4, a, e) for a, e in candidates(text, base)]
+    left = contexts(text, [a for _, a, _ in own])
+    return [(k, a, e, left[a]) for k, a, e in own]
+
+
 MENTION = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("instance", T.LongType()), T.StructField("patterns", T.ArrayType(T.LongType()))])
 
 
@@ -116,9 +138,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             out = []
             for text in b.column(1):
                 t = text.as_py() or ""
-                base = base_spans(t)
-                own = [(k, a, e) for k, a, e in base] + [(4, a, e) for a, e in candidates(t, base)]
-                out.append([{"start": a, "end": e, "kind": k, "instance": _hash(t[a:e]), "patterns": contexts(t, a)} for k, a, e in own])
+                out.append([{"start": a, "end": e, "kind": k, "instance": _hash(t[a:e]), "patterns": left} for k, a, e, left in _mentions(t)])
             yield batch_of(schema, (list(range(row, row + len(out))), b.column(0), out))
             row += len(out)
 
@@ -184,9 +204,8 @@ def redact(docs: DataFrame, *, support: int = SUPPORT, confidence: float = CONFI
 
 
 def _with_known(text: str, known: np.ndarray) -> list[tuple[int, int, int]]:
-    base = base_spans(text)
     has = lambda p: (i := int(np.searchsorted(known, p))) < len(known) and int(known[i]) == p
-    return base + [(4, a, e) for a, e in candidates(text, base) if any(map(has, contexts(text, a)))]
+    return [(k, a, e) for k, a, e, left in _mentions(text) if k < 4 or any(map(has, left))]
 
 
 def _rewrite(docs: DataFrame, spans_of) -> DataFrame:
@@ -213,14 +232,15 @@ def _joined(docs: DataFrame, sure: DataFrame) -> DataFrame:
     rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "texts")
     seen = mentions(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.explode("mentions").alias("m")).filter("m.kind = 4")
     hits = seen.select(key, "m.start", "m.end", F.explode("m.patterns").alias("pattern")).join(sure.select("pattern"), "pattern", "left_semi")
-    spots = hits.groupBy(key).agg(F.collect_set(F.struct("start", "end")).alias("_spots"))
+    found = "_spots" + key
+    spots = hits.groupBy(key).agg(F.collect_set(F.struct("start", "end")).alias(found))
     both = rows.join(spots, key, "left")
     schema, at = docs.schema, docs.columns.index("text")
 
     def write(batches):
         for b in batches:
             columns = [b.column(b.schema.names.index(n)) for n in schema.names]
-            texts, more = columns[at].to_pylist(), b.column(b.schema.names.index("_spots")).to_pylist()
+            texts, more = columns[at].to_pylist(), b.column(b.schema.names.index(found)).to_pylist()
             new = [t and hidden(t, base_spans(t) + [(4, x["start"], x["end"]) for x in m or ()]) for t, m in zip(texts, more)]
             columns[at] = new
             if "n_chars" in schema.names:
