@@ -132,8 +132,8 @@ def sketch(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """node, bag: the multiset of a word sequence as 32-bit numbers, one for each shingle and each time that it occurs."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("bag", T.ArrayType(T.IntegerType()))])
+    """node, bag: the multiset of a word sequence as 64-bit numbers, one for each shingle and each time that it occurs."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("bag", T.ArrayType(T.LongType()))])
 
     def fill(batches):
         for f in batches:
@@ -144,7 +144,7 @@ def bags(docs: DataFrame) -> DataFrame:
                 each = np.repeat(np.arange(len(h)), w)
                 time = np.arange(len(each)) - np.repeat(np.cumsum(w) - w, w)
                 with np.errstate(over="ignore"):
-                    e = (mix(h[each] + time.astype(np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    e = mix(h[each] + time.astype(np.uint64) * _STEP).view(np.int64)
                 at = np.searchsorted(text[each], np.arange(b.n + 1))
                 nodes = _nodes(b)
                 _, once = np.unique(np.where(b.n_words > 0, nodes, 0), return_index=True)
