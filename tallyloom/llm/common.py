@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _staged:
-        atexit.register(_clear)
+        atexit.register(drop_staged)
     _staged[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,8 +50,10 @@ def _delete(path: str, spark: SparkSession) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
-def _clear() -> None:
-    for path, spark in _staged.items():
+def drop_staged() -> None:
+    """Delete all staged tables; for when the results that read them are written. What is left goes at the end of the process."""
+    while _staged:
+        path, spark = _staged.popitem()
         if spark._jsc is not None and not spark._jsc.sc().isStopped():
             _delete(path, spark)
 
@@ -83,4 +87,4 @@ def texts_in_blocks(texts: list[str | None], limit: int = 500_000):
         yield at, len(texts)
 
 
-__all__ = ["F", "T", "DataFrame", "SparkSession", "batch_of", "field", "parts_for", "shared_dir", "stage", "table", "texts_in_blocks"]
+__all__ = ["F", "T", "DataFrame", "SparkSession", "batch_of", "drop_staged", "field", "parts_for", "shared_dir", "stage", "table", "texts_in_blocks"]
