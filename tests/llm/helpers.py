@@ -6,7 +6,7 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside, as extra columns of their input.
-CLASHING = ("row", "key", "part", "node", "n", "bands", "rng", "size", "tokens", "deal", "mentions", "found", "base", "t", "_row", "length", "hub", "bag", "digest")
+CLASHING = ("row", "key", "part", "node", "n", "bands", "rng", "size", "tokens", "deal", "mentions", "found", "base", "t", "_row", "length", "hub", "bag", "digest", "_spots", "_spots_row")
 
 
 def prose(rng, n, vocabulary=400):

@@ -5,9 +5,13 @@ import random
 import re
 import time
 
+import numpy as np
+
 from tallyloom.llm import decontam, quality, substring, urls
 from tallyloom.llm.decontam import Index, closest, fold
 
+from tallyloom.llm.textblock import Block
+
 from .helpers import WORD, documents, edited, empty, odd_texts, prose
 
 
@@ -47,7 +51,20 @@ def test_order_of_rules_goes_by_rejection_per_cost_and_changes_no_verdict():
     assert order[0].name == rules[3].name
     rng = random.Random(1)
     texts = [prose(rng, rng.randint(0, 120), 20) for _ in range(60)]
-    assert ((quality.verdicts(texts, rules) < 0) == (quality.verdicts(texts, rules[::-1]) < 0)).all()
+    assert ((quality.verdicts(Block(texts), rules) < 0) == (quality.verdicts(Block(texts), rules[::-1]) < 0)).all()
+
+
+def test_part_of_a_block_is_the_block_of_the_part():
+    rng = random.Random(41)
+    texts = [prose(rng, rng.randint(0, 60), 9) + rng.choice(["", "\n", " \U00010400\U00010428 É"]) for _ in range(40)] + [None, "", " "]
+    for which in ([], [0, 3, 40, 41], range(0, 43, 2), range(43)):
+        which, whole = np.array(which, int), Block(texts)
+        want = Block([texts[i] for i in which])
+        whole.hashes, whole.n_words, quality.letters(whole)  # noqa: B018
+        part = whole.take(which)
+        assert part.chars.tolist() == want.chars.tolist() and part.hashes.tolist() == want.hashes.tolist() and part.n_words.tolist() == want.n_words.tolist()
+        assert [w.tolist() for w in part.words] == [w.tolist() for w in want.words] and quality.letters(part).tolist() == quality.letters(want).tolist()
+        assert quality.repeat_words(part).tolist() == quality.repeat_words(want).tolist()
 
 
 def least(p, t):
@@ -149,6 +166,74 @@ def test_each_chunk_keeps_its_first_copy_beside_a_frequent_line(spark):
     assert not any(line[30:-30] in t for t in cut[1:]) and {k for _, _, k in spots[1]} == {True, False}
 
 
+def after_cutting(spark, texts):
+    """The texts without the runs that aren't kept."""
+    spots = collections.defaultdict(list)
+    for r in substring.repeats(documents(spark, [*texts, None])).collect():
+        spots[r["doc_id"]].append((r["start"], r["end"], r["kept"]))
+    out = []
+    for i, t in enumerate(texts):
+        for a, e, kept in sorted(spots[i], reverse=True):
+            t = t if kept else t[:a] + t[e:]
+        out.append(t)
+    return out
+
+
+def test_chained_passages_keep_a_copy(spark):
+    rng = random.Random(15)
+    p, q, r, s = (prose(rng, 70, 5000) for _ in range(4))
+    orders = [[p + " " + q, p + " " + q + " " + r, q + " " + r], [q + " " + r, p + " " + q, r + " " + s + " " + p, s + " " + q]]
+    for texts in orders:
+        texts = [f"{prose(rng, 20, 5000)} {t} {prose(rng, 20, 5000)}" for t in texts]
+        cut = after_cutting(spark, texts)
+        for x in (p, q, r, s):
+            held = sum(x in t for t in texts)
+            # A chunk's first copy stays, so each stretch of the passage is left once; parts may stay in different documents.
+            windows = [x[i : i + 40] for i in range(60, len(x) - 100, 20)]
+            assert all(any(w in t for t in cut) for w in windows) or not held
+            assert held < 2 or sum(w in t for w in windows for t in cut) <= len(windows) + 2
+
+
+def plain_shared(texts):
+    """Chunks (text, start, end) that several texts hold, with the first text that holds them; by the chunker's own cuts."""
+    own = []
+    for t in texts:
+        a, e = substring.chunks(Block([t]))
+        own.append([(int(x), int(y)) for x, y in zip(a, e)])
+    holders = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for a, e in own[i]:
+            holders[t[a:e]].add(i)
+    return own, {c: min(h) for c, h in holders.items() if len(h) > 1}
+
+
+def test_runs_and_kept_against_brute_force(spark):
+    rng = random.Random(19)
+    lines = [prose(rng, rng.randint(20, 70), 5000) for _ in range(6)]
+    texts = [" ".join(rng.choice([prose(rng, rng.randint(5, 60), 5000), rng.choice(lines), rng.choice(lines)]) for _ in range(4)) for _ in range(40)]
+    own, first = plain_shared(texts)
+    want = set()
+    for i, t in enumerate(texts):
+        words, chunks = [m.span() for m in WORD.finditer(t)], own[i]
+        at = [k for k, (a, e) in enumerate(chunks) if t[a:e] in first]
+        runs = []
+        for k in at:
+            runs[-1].append(k) if runs and runs[-1][-1] == k - 1 else runs.append([k])
+        for run in runs:
+            low = chunks[run[0] - 1][0] if run[0] else 0
+            high = chunks[run[-1] + 1][1] if run[-1] + 1 < len(chunks) else len(t)
+            reach = sum(a < high for a, _ in words) - max(0, sum(a <= low for a, _ in words) - 1)
+            if reach < substring.LEAST_WORDS or chunks[run[-1]][1] - chunks[run[0]][0] < substring.LEAST_CHARS:
+                continue
+            parts = []
+            for k in run:
+                kept = first[t[chunks[k][0] : chunks[k][1]]] == i
+                parts[-1][1].append(k) if parts and parts[-1][0] == kept else parts.append((kept, [k]))
+            want |= {(i, chunks[ks[0]][0], chunks[ks[-1]][1], len(ks), kept) for kept, ks in parts}
+    got = {tuple(r) for r in substring.repeats(documents(spark, [*texts, None])).collect()}
+    assert got == want and len(want) > 40 and {k for *_, k in want} == {True, False}
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 

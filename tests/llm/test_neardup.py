@@ -67,6 +67,24 @@ def test_texts_smaller_than_their_hub_meet_by_what_it_lacks(spark):
     assert [got.index(c) for c in got] == classes(texts) == [0] * 7 + [7, 7, 9, 9]
 
 
+def test_triples_near_the_threshold_against_brute_force(spark):
+    rng = random.Random(10)
+    texts = []
+    for k in range(340):
+        n = rng.randint(40, 90)
+        base = [f"t{k}w{rng.randrange(2000)}" for _ in range(n)]
+        for _ in range(3):
+            words = base[:]
+            at = rng.randrange(n)
+            words[at : at + rng.randint(0, 2)] = [f"x{rng.randrange(10**9)}" for _ in range(rng.randint(0, 3))]
+            texts.append(" ".join(words[: n - rng.choice([0, 0, rng.randint(0, n // 6)])]))
+    out = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, [*texts, None])).collect()}
+    want = []
+    for i in range(0, len(texts), 3):
+        want += [i + c for c in classes(texts[i : i + 3])]
+    assert [out[i] for i in range(len(texts))] == want and 400 < len(set(want)) < 900
+
+
 def test_components_in_one_task_and_by_stars(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]

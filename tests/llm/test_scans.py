@@ -190,3 +190,77 @@ def test_pii_discovered_instances_induce_patterns(spark):
     texts += [f"{prose(rng, 9)} staff badge KL5-99{3}44-Z and more", "an order 12345678 to see"]
     out = {r["doc_id"]: r["n_context"] for r in pii.extract(documents(spark, [*texts, None])).collect()}
     assert out[42] == 1 and out[43] == 0
+
+
+def plain_contexts(text, starts):
+    """The last word and the last two before each place; words end where a place begins."""
+    out, words, low = {}, [], 0
+    for s in sorted(set(starts)):
+        words += re.findall(r"[^\W\d_]+", text[low:s])
+        low, last = s, [w.lower() for w in words[-2:]]
+        out[s] = [" ".join(last[i:]) for i in range(len(last) - 1, -1, -1)]
+    return out
+
+
+def plain_found(texts, support, confidence, rounds):
+    """The spans of kind ``context`` of each text, by definition."""
+    edges, seeds, per = {}, set(), []
+    for t in texts:
+        base = pii_base(t)
+        free = []
+        for m in re.finditer(r"\S+", t):
+            a, e = m.span()
+            while a < e and not t[a].isalnum():
+                a += 1
+            while e > a and not t[e - 1].isalnum():
+                e -= 1
+            if sum(c.isalnum() for c in t[a:e]) >= 4 and any("0" <= c <= "9" for c in m[0]) and not any(x < e and a < y for _, x, y in base):
+                free.append((a, e))
+        left = plain_contexts(t, [a for _, a, _ in base] + [a for a, _ in free])
+        per.append([(a, e, left[a]) for a, e in free])
+        for a, e, seed in [(a, e, True) for _, a, e in base] + [(a, e, False) for a, e in free]:
+            if seed:
+                seeds.add(t[a:e])
+            for p in left[a]:
+                edges[p, t[a:e]] = edges.get((p, t[a:e]), 0) + 1
+    score, sure = {}, {}
+    for _ in range(rounds):
+        known = {i: 1.0 if i in seeds else score.get(i, 0.0) for _, i in edges}
+        sure = {}
+        for p in {p for p, _ in edges}:
+            own = [(known[i], n) for (q, i), n in edges.items() if q == p]
+            c = sum(s * n for s, n in own) / sum(n for _, n in own)
+            if sum(s > 0 for s, _ in own) >= support and c >= confidence:
+                sure[p] = c
+        score = {}
+        for p, i in edges:
+            if p in sure and i not in seeds:
+                score[i] = max(score.get(i, 0.0), sure[p])
+    return [sorted((a, e) for a, e, left in spans if any(p in sure for p in left)) for spans in per]
+
+
+def test_pii_scores_against_a_plain_version(spark):
+    rng = random.Random(17)
+    words = ["ref", "card", "user", "call", "id", "room", "at"]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            w = rng.choice(words)
+            value = f"+1 (555) 010-{rng.randrange(1000, 1200)}" if rng.random() < {"card": 0.9, "call": 0.8, "ref": 0.5}.get(w, 0.1) else f"ID{rng.randrange(30)}-{rng.choice('xyz')}7"
+            parts.append(f"{rng.choice(words)} {w}: {value}" + rng.choice([" and so,", " " * 300, "\n"]))
+        texts.append(" ".join(parts))
+    want = plain_found(texts, pii.SUPPORT, pii.CONFIDENCE, pii.ROUNDS)
+    out = {r["doc_id"]: r["spans"] for r in pii.extract(documents(spark, [*texts, None])).collect()}
+    for i in range(len(texts)):
+        got = [tuple(map(int, x.split(":")[1:])) for x in out[i].split(",") if x.startswith("context:")]
+        assert got == want[i]
+    assert sum(map(len, want)) > 50 and any(not w for w in want)
+
+
+def test_pii_takes_short_and_far_identifiers(spark):
+    rng = random.Random(18)
+    texts = [f"{prose(rng, 9)} member number +1 (555) 010-{1000 + i} and more" for i in range(20)]
+    texts += ["member number QX77-AB, so", "member number" + " " * 5000 + "QX78-AC", "member number seven", "12345 " * 20_000]
+    out = {r["doc_id"]: r["n_context"] for r in pii.extract(documents(spark, [*texts, None])).collect()}
+    assert [out[i] for i in range(20, 24)] == [1, 1, 0, 0]
