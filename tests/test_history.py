@@ -225,4 +225,17 @@ def test_second_pass_leaves_no_shape(spark):
     rows = [r["t"] for r in redact.redact_values(df, "t").collect()]
     assert rows == [f"x [REDACTED] [REDACTED] {'0a' * 20} k", None]
     assert df.select(redact.has_shape(F.col("t")).alias("s")).first()["s"] is True
-    assert collections.Counter(redact.hide_passwords("passphrase='x' compass='y'")[0])["["] == 1
+
+
+def test_password_values_of_each_form_and_long_ones(spark):
+    m = "[REDACTED]"
+    long = "password=" + "a b, c; " * 100_000 + "\nnext"
+    cases = [
+        ("passphrase='x' compass='y'", f"passphrase='{m}' compass='y'", 1), ("my_pwd: two words, user: bob", f"my_pwd: {m}, user: bob", 1), ("password == x", "password == x", 0),
+        ('{\\"password\\":\\"a\\\\\\"b\\"}', f'{{\\"password\\":\\"{m}\\"}}', 1), ("pass=`a'b\"`", f"pass=`{m}`", 1), ("password=\"\" pwd=''", "password=\"\" pwd=''", 0),
+        (f"password={m}, pwd=x", f"password={m}, pwd={m}", 1), ("PASSWORD='a\\'b'\nk", f"PASSWORD='{m}'\nk", 1), (long, f"password={m}\nnext", 1), ("password" + " " * 200_000 + "=x", "password" + " " * 200_000 + f"={m}", 1), (None, None, 0),
+    ]
+    df = spark.createDataFrame([(i, t, 7) for i, (t, _, _) in enumerate(cases)], "i int, t string, gates int")
+    out = {r["i"]: r for r in redact.redact(df, "t").collect()}
+    assert [(out[i]["t"], out[i]["redactions"]) for i in range(len(cases))] == [(w, n) for _, w, n in cases]
+    assert redact.redact_values(df, "t").columns == df.columns

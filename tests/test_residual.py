@@ -9,10 +9,10 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_all_documents_are_redacted_and_checked(spark):
-    if "residual_shapes_all" not in queries():
+    if "residual_shapes" not in queries():
         pytest.fail("no query looks at all documents")
-    got = sorted(map(tuple, queries()["residual_shapes_all"](spark, DATA).collect()))
+    got = sorted(map(tuple, queries()["residual_shapes"](spark, DATA).collect()))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     n, ya29 = con.execute("SELECT count(*), count(*) FILTER (doc_id % 7 = 6) FROM documents").fetchone()
-    assert got == sorted(con.execute(oracle_sql()["residual_shapes_all"]).fetchall()) and len(got) == n and ya29
+    assert got == sorted(con.execute(oracle_sql()["residual_shapes"]).fetchall()) and len(got) == n and ya29
