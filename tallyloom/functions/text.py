@@ -111,8 +111,27 @@ def report_name(number: Column, label: Column) -> Column:
 
 
 def untrusted_mark(text: Column) -> Column:
-    """A marker that cannot be guessed from outside: the head of the text's digest."""
-    return F.substring(F.sha2(text, 256), 1, 24)
+    """A marker that cannot be guessed from outside and isn't in the text: the head of the digest of the text, or of the text and a number."""
+    tries = [F.substring(F.sha2(text if i == 0 else F.concat(text, F.lit(f"\x00{i}")), 256), 1, 24) for i in range(4)]
+    return F.coalesce(*(F.when(~text.contains(t), t) for t in tries))
+
+
+def unquoted(text: Column) -> Column:
+    """A literal's text without the quotes around it, raw ones included."""
+    raw = r'(?s)^r(#*)"(.*)"\1\z'
+    first = F.substring(text, 1, 1)
+    quoted = (F.length(text) >= 2) & first.isin('"', "'", "`") & text.endswith(first)
+    return F.when(text.rlike(raw), F.regexp_extract(text, raw, 2)).when(quoted, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+
+
+def collapsed(text: Column, most: int = 60) -> Column:
+    """One line with single blanks, cut to ``most`` characters with an ellipsis."""
+    one = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most - 1), F.lit("…"))).otherwise(one)
+
+
+def first_token(text: Column) -> Column:
+    return F.regexp_extract(text, r"^\s*(\S*)", 1)
 
 
 def cache_key(*parts: Column) -> Column:

@@ -6,6 +6,8 @@ the commit itself does. Each aggregate is one shuffle on its key with partial su
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import month_of, short, week_of
@@ -132,3 +134,22 @@ def report(results: DataFrame, repo: str, mode: str, model: str, since: str) ->
 def envelope(report_row: DataFrame, command: str) -> DataFrame:
     """The report as the JSON document ``{ok, command, data}``."""
     return report_row.select(F.to_json(F.struct(F.lit(True).alias("ok"), F.lit(command).alias("command"), F.struct("*").alias("data"))).alias("json"))
+
+
+def failure(code: str, message: str, command: str) -> str:
+    """What a failed command answers: ``{ok: false, command, error: {code, message}}``."""
+    return json.dumps({"ok": False, "command": command, "error": {"code": code, "message": message}})
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """One row: calls, input_tokens, output_tokens, redactions, cached (commits), answered_by (the first commit's model that has one).
+
+    ``results``: seq, calls, input_tokens, output_tokens, redactions, cached (flag), model.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return results.agg(*map(total, ("calls", "input_tokens", "output_tokens", "redactions")), F.count_if("cached").alias("cached"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))).alias("answered_by"))
+
+
+def write_reports(rows: DataFrame, folder: str) -> None:
+    """One JSON document for each row (``name`` of its file, ``json``), as text files that a reader of ``folder`` finds by name."""
+    rows.select("name", F.col("json").alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import paths
 from ..operators import facts, policy, views
-from . import derived
+from . import analyze, derived
 from .derived import FILES_SQL
 from .history_queries import PARTS_SQL, _in, class_sql
 from .queries import registered
@@ -140,3 +140,71 @@ def policy_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = next(r for r in p.policy["cap"] if r["id"] == "deeper")["weighted"]["terms"]
     total = sum((t["weight"] * policy.term_value(p, t, F.col("answers")) for t in terms), F.lit(0.0))
     return f.select("sha", F.round(total, 6).alias("total"))
+
+
+#: Files of a commit, {i} their place: path, letter, lines of the one hunk behind its head, boundary added and removed (as text), public exports
+#: added and removed, symbols removed, tables, product, whether an entry point shows, whether the file may hold more, why it is unread.
+KINDS_OF_FILES = (
+    ("src/m{i}.py", "M", "@@ -1,4 +1,4 @@\n import x\n-@app.get('/a{i}')\n+@app.get('/b{i}')\n def go():\n     return 1\n", ("route GET /b{i}",), ("route GET /a{i}",), 0, 0, 1, 0, True, True, False, ""),
+    ("src/w{i}.py", "M", "@@ -1,3 +1,3 @@\n import x\n-x = 1\n+x  =  1\n y = 2\n", (), (), 0, 0, 0, 0, True, False, False, ""),
+    ("src/t{i}.ts", "A", '@@ -0,0 +1,2 @@\n+export function f{i}() {}\n+app.get("/t{i}", go);\n', ("export f{i}, function, module export", "route GET /t{i}"), (), 0, 0, 0, 0, True, True, False, ""),
+    ("pkg/g{i}.go", "D", "@@ -1,2 +0,0 @@\n-package g\n-func Stop{i}() {}\n", (), ("export Stop{i}, function, public entry point",), 0, 1, 1, 0, True, True, False, ""),
+    ("db/migrations/s{i}.sql", "A", "@@ -0,0 +1,2 @@\n+CREATE TABLE t{i} (\n+ id int);\n", (), (), 0, 0, 0, 1, True, False, False, "db/migrations/s{i}.sql (no parser for its ending)"),
+    ("README{i}.md", "M", "@@ -1 +1 @@\n-old\n+new\n", (), (), 0, 0, 0, 0, False, False, False, ""),
+    ("src/n{i}.py", "M", "@@ -10,5 +10,5 @@\n a\n-b{i} = 1\n+c{i} = 2\n d\n e\n f\n", (), (), 0, 0, 0, 0, True, False, True, ""),
+    ("p{i}/package.json", "M", '@@ -1,3 +1,3 @@\n "bin": {\n-"old{i}": "x"\n+"new{i}": "x"\n }\n', ("command new{i}",), ("command old{i}",), 0, 0, 1, 0, False, False, False, ""),
+)
+PER_COMMIT = 3
+
+
+def _made(n: int) -> list:
+    """Path, letter, section, lines added and removed of each kind at each place."""
+    out = []
+    for path, letter, hunk, *_ in KINDS_OF_FILES:
+        for i in range(n):
+            p, h = path.replace("{i}", str(i)), hunk.replace("{i}", str(i))
+            head = f"diff --git a/{p} b/{p}\n" + {"A": "new file mode 100644\n", "D": "deleted file mode 100644\n"}.get(letter, "") + f"--- a/{p}\n+++ b/{p}\n"
+            body = h.split("\n")[1:]
+            out.append((p, letter, head + h, sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body)))
+    return out
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records from ``orders``: three files each, their kinds from the order's and the customer's number."""
+    made = _made(PER_COMMIT)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("c"))
+    place = [((F.col("sha") + i * F.col("c")) % len(KINDS_OF_FILES)).cast("int") * PER_COMMIT + i + 1 for i in range(PER_COMMIT)]
+    pick = lambda j, at: F.element_at(F.array(*(F.lit(m[j]) for m in made)), at)
+    files = F.array(*(F.struct(F.lit(i).alias("file_no"), pick(1, at).alias("letter"), pick(0, at).alias("path"), pick(3, at).alias("added"), pick(4, at).alias("removed")) for i, at in enumerate(place)))
+    return o.select("sha", (F.col("sha") % 3).cast("int").alias("parents"), files.alias("files"), F.concat(*(pick(2, at) for at in place)).alias("diff"))
+
+
+def _of_kind(j: int, text=str) -> str:
+    return "([" + ", ".join(text(k[j]) for k in KINDS_OF_FILES) + "])[k + 1]"
+
+
+_TEXTS = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]::VARCHAR[]"
+_PATH = _of_kind(0, lambda x: f"'{x}'")
+
+
+def _lines(d: str, j: int) -> str:
+    """A file's lines of the delta: its name stands before an export's detail."""
+    return f"list_transform({_of_kind(j, _TEXTS)}, lambda x: replace('{d} ' || regexp_replace(x, '^([^,]*)(.*)$', '\\1 in ' || {_PATH} || '\\2'), '{{i}}', i::VARCHAR))"
+
+
+ROW_SQL = f"""WITH f AS (SELECT o_orderkey AS sha, i, ((o_orderkey + i * o_custkey) % {len(KINDS_OF_FILES)})::INT AS k FROM orders, (VALUES (0), (1), (2)) AS p(i)),
+e AS (SELECT *, {_of_kind(9)} AS prod, {_of_kind(10)} AS holds, {_of_kind(11)} AS unknown, replace({_of_kind(12, lambda x: f"'{x}'")}, '{{i}}', i::VARCHAR) AS unread, {_lines('added', 3)} AS plus, {_lines('removed', 4)} AS minus FROM f),
+a AS (SELECT sha, count(*) FILTER (prod) AS product_files, count(*) FILTER (k = 3) AS product_files_deleted, count(*) FILTER (prod) > 0 AND bool_and(NOT prod OR k = 1) AS whitespace_only, sum({_of_kind(8)})::BIGINT AS tables_created,
+  bool_and(unread = '') AS boundary_extracted, sum(len(list_filter(plus, lambda x: NOT starts_with(x, 'added export'))))::BIGINT AS user_boundaries_added, sum(len(list_filter(minus, lambda x: NOT starts_with(x, 'removed export'))))::BIGINT AS user_boundaries_removed,
+  sum({_of_kind(5)})::BIGINT AS public_exports_added, sum({_of_kind(6)})::BIGINT AS public_exports_removed, sum({_of_kind(7)})::BIGINT AS named_symbols_removed, bool_or(prod AND holds) AS holds, bool_or(unknown) AS unknown,
+  flatten(list(plus ORDER BY i)) AS plus, flatten(list(minus ORDER BY i)) AS minus, coalesce(string_agg(unread, '; ' ORDER BY i) FILTER (unread <> ''), '') AS why FROM e GROUP BY sha)
+SELECT sha, ['root', 'single', 'merge'][sha % 3 + 1] AS parent_kind, product_files, product_files_deleted, whitespace_only, tables_created, boundary_extracted, user_boundaries_added, user_boundaries_removed, public_exports_added, public_exports_removed,
+  named_symbols_removed, CASE WHEN holds THEN true WHEN boundary_extracted AND NOT unknown THEN false END AS user_surface_touched, 'fits' AS product_diff_size, false AS diff_empty, false AS secret_shape_remaining, false AS added_paths_mirror_existing,
+  CASE WHEN len(plus) + len(minus) = 0 AND why = '' THEN 'none' ELSE array_to_string(list_concat(plus, minus, CASE WHEN why = '' THEN [] ELSE ['not extracted: ' || why] END), chr(10)) END AS boundary_delta FROM a"""
+ROW = ("parent_kind", "product_files", "product_files_deleted", "whitespace_only", "tables_created", "boundary_extracted", "user_boundaries_added", "user_boundaries_removed", "public_exports_added", "public_exports_removed", "named_symbols_removed", "user_surface_touched", "product_diff_size", "diff_empty", "secret_shape_remaining", "added_paths_mirror_existing")
+
+
+@registered("facts_row", ROW_SQL)
+def facts_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of facts from raw records, through file views, sections, boundaries, symbols and state texts."""
+    return analyze.commit_facts(raw_records(spark, sf_dir), "code").select("sha", *ROW, F.col("state")["boundary_delta"].alias("boundary_delta"))

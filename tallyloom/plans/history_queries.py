@@ -73,8 +73,8 @@ def class_sql(kind: str) -> str:
 
 def _classes(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = derived.files(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"))
-        return p.select("path", "n", paths.classify(F.col("path"), kind).alias("cls"))
+        each = derived.files(spark, sf_dir).select("path", paths.classify(F.col("path"), kind).alias("cls"))
+        return each.groupBy("path", "cls").agg(F.count("*").alias("n"))
 
     return run
 
@@ -86,7 +86,7 @@ for _kind in ("code", "prompts", "content", "mixed"):
 @registered("path_ext_base", f"WITH {FILES_SQL}, src AS (SELECT DISTINCT path FROM files), {PARTS_SQL} SELECT path, b AS base, e AS ext, dirs FROM parts")
 def path_ext_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    return derived.files(spark, sf_dir).select("path").distinct().select("path", paths.base(p).alias("base"), paths.ext(p).alias("ext"), paths.folders(p).alias("dirs"))
+    return derived.files(spark, sf_dir).select("path", paths.base(p).alias("base"), paths.ext(p).alias("ext"), paths.folders(p).alias("dirs")).distinct()
 
 
 @registered("snapshot_paths", f"WITH {FILES_SQL} SELECT path, count(*) AS n FROM files WHERE regexp_matches(path, '(?i)(^|/)releases/v?[0-9]+(\\.[0-9]+)*([-.][0-9a-z.]+)?/') GROUP BY path")
@@ -96,7 +96,7 @@ def snapshot_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("test_paths", f"WITH {FILES_SQL} SELECT path, regexp_matches(path, '(?i){paths.TEST_PATH}') AS is_test, count(*) AS n FROM files GROUP BY path")
 def test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.files(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n")).select("path", paths.is_test_path(F.col("path")).alias("is_test"), "n")
+    return derived.files(spark, sf_dir).groupBy("path", paths.is_test_path(F.col("path")).alias("is_test")).agg(F.count("*").alias("n"))
 
 
 @registered("path_words", f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM files),
@@ -105,7 +105,7 @@ v AS (SELECT *, [lower(trim(regexp_replace(regexp_replace(regexp_replace(x, '([a
 u AS (SELECT *, list_filter(ws[3:], lambda x: x <> '' AND NOT regexp_matches(x, '{paths.GENERIC_DIR}'))[1] AS dir FROM v)
 SELECT path, coalesce(nullif(CASE WHEN {_in('lower(stem)', paths.GENERIC_STEMS)} OR ws[1] = '' THEN coalesce(dir, ws[1]) ELSE ws[1] END, ''), nullif(ws[2], ''), 'capability') AS words FROM u""")
 def path_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.files(spark, sf_dir).select("path").distinct().select("path", paths.path_words(F.col("path")).alias("words"))
+    return derived.files(spark, sf_dir).select("path", paths.path_words(F.col("path")).alias("words")).distinct()
 
 
 @registered("repo_kind", f"""WITH {FILES_SQL}, src AS (SELECT DISTINCT sha % 4 AS repo, path FROM files WHERE NOT regexp_matches(path, '(?i)(^|/)releases/v?[0-9]+(\\.[0-9]+)*([-.][0-9a-z.]+)?/')), {PARTS_SQL},

@@ -32,9 +32,9 @@ def _list(values) -> str:
 
 @registered("line_symbols", f"SELECT s AS symbol, count(*) AS n FROM (SELECT ({_list([x[2] for x in LINES])})[l_partkey % {len(LINES)} + 1] AS s FROM lineitem) WHERE s <> '' GROUP BY s")
 def line_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dealt(spark, sf_dir, [x[0] for x in LINES], [x[1] for x in LINES]).groupBy("c0", "c1").agg(F.count("*").alias("n"))
-    s = d.select("n", F.explode(symbols.line_symbols(F.col("c0"), F.col("c1"), F.lit(False), F.lit(-1))).alias("s"))
-    return s.groupBy(F.concat("s.kind", F.lit(" "), "s.name", F.when(F.col("s.drop"), " dropped").otherwise("")).alias("symbol")).agg(F.sum("n").alias("n"))
+    d = dealt(spark, sf_dir, [x[0] for x in LINES], [x[1] for x in LINES])
+    s = d.select(F.explode(symbols.line_symbols(F.col("c0"), F.col("c1"), F.lit(False), F.lit(-1))).alias("s"))
+    return s.groupBy(F.concat("s.kind", F.lit(" "), "s.name", F.when(F.col("s.drop"), " dropped").otherwise("")).alias("symbol")).agg(F.count("*").alias("n"))
 
 
 TITLES = (('it("adds", f)', "adds"), ("test.skip('drops', f)", "drops"), ("def test_more(self):", "test_more"), ("func TestAll(t *testing.T) {", "TestAll"), ("let x = 1", ""))
@@ -68,7 +68,8 @@ _SKIP = ", ".join(f"'{d}'" for d in files.SKIPPED_DIRS)
 SELECT path, language, language IS NOT NULL AND NOT list_has_any(dirs, [{_SKIP}]) AND NOT regexp_matches(path, '{files.SKIPPED_NAMES}') AND NOT (language = 'go' AND list_contains(dirs, 'internal')) AS in_scope, n FROM p""")
 def source_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    return derived.files(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n")).select("path", files.language_of(p).alias("language"), files.in_scope(p).alias("in_scope"), "n")
+    each = derived.files(spark, sf_dir).select("path", files.language_of(p).alias("language"), files.in_scope(p).alias("in_scope"))
+    return each.groupBy("path", "language", "in_scope").agg(F.count("*").alias("n"))
 
 
 @registered("plausible_sources", "SELECT doc_id, length(text) <= 1000000 AND NOT (length(text) > 20000 AND length(text) / len(string_split(text, chr(10))) > 400) AS ok FROM documents")
@@ -84,6 +85,23 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.misses(c, cache, "k").select("sha")
 
 
+@registered("cache_with_broken_entries", f"WITH {COMMITS_SQL} SELECT CASE WHEN error IS NULL AND seq % 3 = 0 THEN 'cached' ELSE 'missed' END AS how, count(*) AS n FROM commits GROUP BY 1")
+def cache_with_broken_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each commit is either cached or missed, also where its entry is broken; what is cached stays when broken entries go."""
+    c = derived.commits(spark, sf_dir)
+    cache = c.filter("error is null").select("sha", F.when(F.col("seq") % 3 == 0, F.to_json("records")).otherwise("[broken").alias("body"), F.lit("k").alias("cache_key"))
+    kept = replies.without_broken(cache, "k")
+    both = replies.cached(c.select("sha"), kept, "k").select(F.lit("cached").alias("how")).unionByName(replies.misses(c.select("sha"), cache, "k").select(F.lit("missed").alias("how")))
+    return both.groupBy("how").agg(F.count("*").alias("n"))
+
+
+@registered("run_counters", f"WITH {COMMITS_SQL} SELECT sum(seq % 4)::BIGINT AS calls, sum(seq % 100)::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, sum(seq % 2)::BIGINT AS redactions, count(*) FILTER (seq % 3 = 0) AS cached, 'm' || min(seq) FILTER (seq % 5 = 4) AS answered_by FROM commits")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.col("seq")
+    c = derived.commits(spark, sf_dir).select("seq", (seq % 4).alias("calls"), (seq % 100).alias("input_tokens"), F.lit(0).alias("output_tokens"), (seq % 2).alias("redactions"), (seq % 3 == 0).alias("cached"), F.when(seq % 5 == 4, F.concat(F.lit("m"), seq.cast("string"))).alias("model"))
+    return tally.counters(c)
+
+
 @registered("cached_records", f"WITH {COMMITS_SQL} SELECT count(*) AS commits, (sum(CASE WHEN kind IS NULL THEN 0 WHEN seq % 7 = 0 AND kind IN ('cap', 'fix') THEN 2 ELSE 1 END))::BIGINT AS records FROM commits WHERE error IS NULL AND seq % 3 = 0")
 def cached_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = derived.commits(spark, sf_dir)

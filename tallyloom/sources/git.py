@@ -80,17 +80,40 @@ class _RecordReader(_Reader):
         return [_Range(i, shas[i : i + PER_PARTITION]) for i in range(0, len(shas), PER_PARTITION)] or [_Range(0, [])]
 
     def read(self, partition):
-        show = lambda sha, *args: git(self.path, "show", "--format=", *args, *RENAMES, sha)
+        if not partition.shas:
+            return
+        parents = {x[0]: len(x) - 1 for line in git(self.path, "rev-list", "--no-walk=unsorted", "--parents", *partition.shas).split("\n") if (x := line.split())}
+        both = self.by_commit(partition.shas, "--raw", "--numstat", "-z", "--no-abbrev")
+        diffs = self.by_commit(partition.shas, "--patch", "--no-color", "--unified=3")
         for seq, sha in enumerate(partition.shas, partition.first):
-            parents = len(git(self.path, "rev-list", "--parents", "-n", "1", sha).split()) - 1
-            status = [x for x in show(sha, "--name-status").split("\n") if x]
-            counts = [x.split("\t") for x in show(sha, "--numstat").split("\n") if x]
-            files = []
-            for i, line in enumerate(status):
-                parts = line.split("\t")
-                added, removed = counts[i][:2] if i < len(counts) else ("0", "0")
-                files.append((i, parts[0], parts[-1], int(added) if added.isdigit() else 0, int(removed) if removed.isdigit() else 0))
-            yield self.repo, seq, sha, parents, files, show(sha, "--no-color", "--unified=3")
+            yield self.repo, seq, sha, parents[sha], changed_files(both[sha]), diffs[sha].lstrip("\n")
+
+    def by_commit(self, shas: list[str], *args: str) -> dict[str, str]:
+        """What git shows of each commit, by one process for all; a commit's part starts behind a line that no diff has, its own digest's."""
+        mark = f"\x01{shas[0]}\x01"
+        out = git(self.path, "show", f"--format={mark}%H{mark}", *args, *RENAMES, *shas)
+        parts = out.split(mark)[1:]
+        return {sha: text.lstrip("\x00") for sha, text in zip(parts[::2], parts[1::2], strict=True)}
+
+
+def changed_files(text: str) -> list[tuple[int, str, str, int, int]]:
+    """file_no, status letter with its share, path, lines added and removed from NUL-separated ``--raw --numstat`` output."""
+    fields = [x.lstrip("\n") for x in text.split("\x00")]
+    files, counts, at = [], [], 0
+    while at < len(fields):
+        x = fields[at]
+        if x.startswith(":"):
+            letter = x.split(" ")[-1]
+            two = letter[0] in "RC"
+            files.append((letter, fields[at + 2] if two else fields[at + 1]))
+            at += 3 if two else 2
+        elif x.count("\t") >= 2:
+            added, removed, path = x.split("\t", 2)
+            counts.append((int(added) if added.isdigit() else 0, int(removed) if removed.isdigit() else 0))
+            at += 3 if path == "" else 1
+        else:
+            at += 1
+    return [(i, letter, path, *(counts[i] if i < len(counts) else (0, 0))) for i, (letter, path) in enumerate(files)]
 
 
 class GitLog(DataSource):
@@ -132,9 +155,19 @@ class _TreeReader(_Reader):
         return [_Range(i, blobs[i : i + PER_PARTITION]) for i in range(0, len(blobs), PER_PARTITION)] or [_Range(0, [])]
 
     def read(self, partition):
-        for row in partition.shas:
-            blob, name = row.split(" ", 1)
-            yield self.repo, name, git(self.path, "cat-file", "blob", blob)
+        if not partition.shas:
+            return
+        rows = [row.split(" ", 1) for row in partition.shas]
+        asked = "".join(f"{blob}\n" for blob, _ in rows).encode()
+        done = subprocess.run(["git", "-C", self.path, "cat-file", "--batch"], input=asked, capture_output=True, check=False)
+        if done.returncode:
+            raise RuntimeError(f"git cat-file failed: {done.stderr.decode(errors='replace').strip()}")
+        at = 0
+        for _, name in rows:
+            end = done.stdout.index(b"\n", at)
+            size = int(done.stdout[at:end].split()[-1])
+            yield self.repo, name, done.stdout[end + 1 : end + 1 + size].decode("utf-8", "replace")
+            at = end + 2 + size
 
 
 class GitTree(DataSource):

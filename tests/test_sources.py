@@ -46,6 +46,92 @@ def test_git_sources(spark, repo):
     assert spark.range(1).select(git.records_column(F.lit(text)).alias("r")).first()["r"][0]["author"] == "x\ny\x1fz"
 
 
+def test_git_reads_odd_names_and_many_commits_at_once(spark, tmp_path):
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@x", *args], check=True, capture_output=True)
+
+    run("init", "-q", "-b", "main")
+    names = ["tab\there.py", 'quo"te.txt', "umläut.md", "plain.go"]
+    for n in names:
+        (tmp_path / n).write_text("one\ntwo\n")
+    run("add", "-A")
+    run("commit", "-qm", "all :100644 a\tb")
+    (tmp_path / names[0]).rename(tmp_path / "moved\tto.py")
+    (tmp_path / "plain.go").write_text("one\n")
+    run("add", "-A")
+    run("commit", "-qm", "two")
+    run("commit", "-qm", "nothing", "--allow-empty")
+    git.register(spark)
+    raw = spark.read.format("git_commits").option("path", str(tmp_path)).load().orderBy("seq").collect()
+    files = [{(f["letter"][0], f["path"], f["added"], f["removed"]) for f in r["files"]} for r in raw]
+    assert files == [{("A", n, 2, 0) for n in names}, {("R", "moved\tto.py", 0, 0), ("M", "plain.go", 0, 1)}, set()]
+    assert raw[1]["diff"].startswith("diff --git") and raw[2]["diff"] == "" and [r["parents"] for r in raw] == [0, 1, 1]
+    tree = {r["path"]: r["text"] for r in spark.read.format("git_tree").option("path", str(tmp_path)).load().collect()}
+    assert set(tree) == {"moved\tto.py", *names[1:]} and tree["umläut.md"] == "one\ntwo\n" and tree["plain.go"] == "one\n"
+
+
+def test_a_judged_run_names_its_capability_and_refuses_secrets(spark, tmp_path):
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@x", *args], check=True, capture_output=True)
+
+    run("init", "-q", "-b", "main")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/app.py").write_text("import x\n\n\n@app.get('/a')\ndef go():\n    return 1\n")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    commits, raw = analyze.raw_records(spark, str(tmp_path))
+    p = policy.Policy.load(fact_queries.POLICY)
+    f = analyze.commit_facts(raw, "code").first()
+    assert (f["user_boundaries_added"], f["user_surface_touched"], f["revert_of"], f["answer_set_complete"]) == (1, True, None, True)
+    answers = {"survey": {"repairs": {"type": "noul", "noul": 0.1}, "gain": {"type": "choice", "choice": "new", "confidence": 0.9}, "reach": {"type": "score", "score": 3.0, "confidence": 0.9}}, "confirm": {"noticed": {"type": "noul", "noul": 0.9}}}
+    rows = []
+    for s in p.stages:
+        reads = sorted({x for q in s["questions"] for x in q["reads"]})
+        from tallyloom.operators import replies
+
+        texts = spark.createDataFrame([tuple(f["state"][x] for x in reads)], ", ".join(f"{x} string" for x in reads))
+        key = texts.select(replies.request_key(s["id"], F.struct(*reads)).alias("k")).first()["k"]
+        full = {q: {n: a.get(n) for n in ("type", "noul", "choice", "score", "confidence", "probabilities")} for q, a in answers[s["id"]].items()}
+        rows.append((key, full, "m", 10, 1))
+    recorded = spark.createDataFrame(rows, f"request_key string, answers map<string,{policy.ANSWER}>, model string, input_tokens bigint, output_tokens bigint")
+    out = analyze.analyze(commits, raw, p, recorded, "code").first()
+    assert out["error"] is None and [(r["kind"], r["change"], r["name"]) for r in out["records"]] == [("cap", "new", "GET /a")] and out["calls"] == 2 and out["input_tokens"] == 20
+    assert tally.counters(analyze.analyze(commits, raw, p, recorded, "code").withColumns({"redactions": F.lit(0), "cached": F.lit(False)})).first()["answered_by"] == "m"
+    asked = spark.createDataFrame([("a", 1, False, "", "", "", True)], "sha string, product_files int, snapshot_only boolean, files string, product_diff string, boundary_delta string, secret_shape_remaining boolean")
+    asked = asked.withColumns({"answers": F.create_map().cast(f"map<string,{policy.ANSWER}>"), "error": F.lit(None).cast("string")})
+    told = replies.ask(p, asked, recorded, {}).first()
+    assert told["error"] == "not asked: the state still holds the shape of a secret" and told["calls"] == 0
+
+
+def test_fragments_of_hunks_give_their_entries():
+    side = [("    x = 1", False), ("@app.get('/y')", True), ("def y(", True), ("    a,", True), ("):", True), ("    return 1", False), ("z = [", False)]
+    found, missed = extract.side_entries("python", side, False)
+    assert {(k, n) for k, n, *_ in found} == {("route", "GET /y"), ("export", "y")} and missed == []
+    found, missed = extract.side_entries("python", [("sub.add_parser(", True), ("b.bind('<Key>', f", True)], False)
+    assert found == [] and missed == ["b.bind('<Key>', f"]
+    assert extract.declaration("typescript", "export abstract class A {") == ("A", "class") and extract.declaration("python", "  def x():") is None
+    assert extract.declaration("rust", "pub async fn go() {") == ("go", "function") and extract.declaration("go", "func (s *srv) Stop() {") is None
+    assert extract.signal("javascript", "<B onClick={f}>") == "ui handler" and extract.signal("typescript", "<B onClick={f}>") is None
+    assert extract.signal("rust", "pub fn x() {", True) == "public export" and extract.signal("go", 'r.GET("/x", h)') == "route" and extract.signal("typescript", 'axios.get("/x", h)') is None
+
+
+def test_small_text_functions_and_answers_to_failures(spark):
+    from tallyloom.functions import text
+    from tallyloom.operators import replies
+
+    t = spark.createDataFrame([("'a b'", "  x \n y  ", 'r#"q"#')], "a string, b string, c string")
+    r = t.select(text.unquoted(F.col("a")).alias("a"), text.collapsed(F.col("b")).alias("b"), text.unquoted(F.col("c")).alias("c"), text.first_token(F.col("b")).alias("d"), text.collapsed(F.repeat(F.lit("x"), F.lit(70))).alias("e")).first()
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == ("a b", "x y", "q", "x", "x" * 59 + "…")
+    assert [replies.wait_seconds(i) for i in (1, 2, 9)] == [0.5, 1.0, 20.0] and replies.wait_seconds(1, retry_after=3) == 3
+    assert tally.failure("usage", "no", "analyze") == '{"ok": false, "command": "analyze", "error": {"code": "usage", "message": "no"}}'
+    assert "analyze_many" in analyze.help_text() and (analyze.Denied.code, analyze.Usage.code, analyze.Failed.code) == (3, 2, 1)
+    asked = replies.wire_questions([{"id": "q", "kind": "choice", "instructions": "i", "options": {"a": "A"}}, {"id": "n", "kind": "noul", "instructions": "j"}])
+    assert asked == {"q": {"type": "choice", "instructions": "i", "criteria": {"a": "A"}}, "n": {"type": "noul", "instructions": "j"}}
+    extract.register(spark)
+    got = spark.sql("SELECT b.* FROM VALUES ('a.py', 'def go():\n    pass') AS s(p, t), LATERAL boundaries_of(s.p, s.t) b").collect()
+    assert [(r["kind"], r["name"]) for r in got] == [("export", "go")]
+
+
 def test_a_run_end_to_end_without_replies(spark, repo):
     commits, raw = analyze.raw_records(spark, repo)
     none = spark.createDataFrame([], f"request_key string, answers map<string,{policy.ANSWER}>, model string, input_tokens bigint, output_tokens bigint")
