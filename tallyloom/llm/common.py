@@ -1,63 +1,18 @@
-"""What the corpus operators share: reading tables, staging tables, sizes of groups."""
+"""What the corpus operators share: reading tables, batches, sizes of groups."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-_staged: dict[str, SparkSession] = {}
-
+from ..staging import drop_staged, shared_dir, stage
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage: what follows never recomputes ``df``, and a lost executor costs only its running tasks.
-    Parquet rather than ``checkpoint()``, which computes its input twice and stores whole rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _staged:
-        atexit.register(drop_staged)
-    _staged[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(path: str, spark: SparkSession) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
-
-
-def drop_staged() -> None:
-    """Delete all staged tables; for when the results that read them are written. What is left goes at the end of the process."""
-    while _staged:
-        path, spark = _staged.popitem()
-        if spark._jsc is not None and not spark._jsc.sc().isStopped():
-            _delete(path, spark)
-
-
 def field(df: DataFrame, name: str, kind: T.DataType) -> T.StructField:
     """The type of a column of ``df``, or ``kind`` where it has none."""
     return T.StructField(name, df.schema[name].dataType if name in df.columns else kind)
