@@ -8,6 +8,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..staging import drop_staged, shared_dir, stage
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
