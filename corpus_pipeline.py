@@ -1,6 +1,8 @@
 """A corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes what the one before kept, written as Parquet and read again; all but the last return the columns of ``documents``.
+Every stage takes an empty table (and gives none), null ids and repeated rows (each a document), and further columns of any name, which it
+passes on.
 """
 
 from __future__ import annotations
@@ -12,27 +14,29 @@ from tallyloom.llm.common import stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. A null or empty text has too few words and goes; a very long one is judged whole."""
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, its first row. A document without words is a class of its own and stays; ties don't arise,
+    as rows are in order."""
     return neardup.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. A null text holds none; null and blank items are in none; equal items count once."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null and empty texts as they are. Of overlapping spans the first one's kind stands."""
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in sequences."""
+    """The documents' pieces with their places in sequences. A null or empty text is a piece with the closing id alone; equal lengths are packed
+    in any order."""
     return packing.pack(docs)
 
 
