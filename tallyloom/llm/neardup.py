@@ -33,6 +33,8 @@ from .textblock import Block, mix
 SHINGLE, BANDS, ROWS = 5, 30, 5
 #: Similarity of at least 4/5, in whole numbers.
 SIMILAR, OF = 4, 5
+#: The bitmap of nodes whose multisets are needed has 2 ** this many bits at most.
+MARK_BITS = 27
 _STEP, _GOLD = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,8 +133,28 @@ def sketch(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(draw, schema)
 
 
-def bags(docs: DataFrame) -> DataFrame:
-    """node, bag: the multiset of a word sequence as 64-bit numbers, one for each shingle and each time that it occurs."""
+def marked(nodes: DataFrame, most: int = MARK_BITS) -> np.ndarray:
+    """A bitmap over the low bits of the ``nodes``' numbers, 16 bits for each node, 2 ** ``most`` (16 MB) in all at most.
+
+    What it doesn't mark is no such node; what it marks may be one. So it only spares work, the less the fuller it is.
+    """
+    n = nodes.count()
+    width = min(most, max(10, (16 * n).bit_length()))
+    word = F.shiftrightunsigned("node", 6).bitwiseAND(F.lit((1 << (width - 6)) - 1))
+    rows = nodes.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63L as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 6), np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def _is_marked(nodes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    word = (nodes.view(np.uint64) >> np.uint64(6)) & np.uint64(len(bits) - 1)
+    return (bits[word.astype(np.int64)] >> (nodes & 63)) & 1 == 1
+
+
+def bags(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """node, bag of the nodes that ``bits`` marks: the multiset of a word sequence as 64-bit numbers, one for each shingle and each time that
+    it occurs."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("bag", T.ArrayType(T.LongType()))])
 
     def fill(batches):
@@ -140,6 +162,10 @@ def bags(docs: DataFrame) -> DataFrame:
             texts = f.column(0).to_pylist()
             for a, z in texts_in_blocks(texts):
                 b = Block(texts[a:z])
+                wanted = np.flatnonzero((b.n_words > 0) & _is_marked(_nodes(b), bits))
+                if not len(wanted):
+                    continue
+                b = b.take(wanted)
                 text, h, w = shingles(b)
                 each = np.repeat(np.arange(len(h)), w)
                 time = np.arange(len(each)) - np.repeat(np.cumsum(w) - w, w)
@@ -147,9 +173,8 @@ def bags(docs: DataFrame) -> DataFrame:
                     e = mix(h[each] + time.astype(np.uint64) * _STEP).view(np.int64)
                 at = np.searchsorted(text[each], np.arange(b.n + 1))
                 nodes = _nodes(b)
-                _, once = np.unique(np.where(b.n_words > 0, nodes, 0), return_index=True)
-                once = np.sort(once[b.n_words[once] > 0])
-                values = np.concatenate([e[at[i] : at[i + 1]] for i in once]) if len(once) else e[:0]
+                once = np.sort(np.unique(nodes, return_index=True)[1])
+                values = np.concatenate([e[at[i] : at[i + 1]] for i in once])
                 yield batch_of(schema, (nodes[once], _lists(values, np.concatenate([[0], np.cumsum(at[once + 1] - at[once])]))))
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(fill, schema).groupBy("node").agg(F.first("bag").alias("bag"))
@@ -247,7 +272,9 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     met = stage(met, "counted")
     hubs = stage(met.groupBy("key").agg(F.min_by("node", first).alias("hub"), F.min_by("n", first).alias("hub_n")), "hubs")
     met = stage(met.drop("meets").join(hubs, "key"), "met")
-    found = _Found(stage(bags(docs).join(met.select("node").distinct(), "node", "left_semi"), "bags"))
+    # Multisets only of what meets another node: the others' are neither made nor shuffled.
+    meeting = stage(met.select("node").distinct(), "meeting")
+    found = _Found(stage(bags(docs, marked(meeting)).join(meeting, "node", "left_semi"), "bags"))
     found.stars(met)
     found.across(_open(met, found.comps))
     return found.comps

@@ -85,6 +85,16 @@ def test_triples_near_the_threshold_against_brute_force(spark):
     assert [out[i] for i in range(len(texts))] == want and 400 < len(set(want)) < 900
 
 
+def test_bitmap_marks_all_that_it_is_made_of(spark):
+    rng = random.Random(6)
+    some = [rng.randrange(-(2**63), 2**63) for _ in range(3000)] + [-1, 0, 63, 64, -(2**63), 2**63 - 1]
+    for most in (27, 10):
+        bits = neardup.marked(spark.createDataFrame([(x,) for x in some], "node long"), most)
+        assert neardup._is_marked(np.array(some, np.int64), bits).all()
+        others = np.array([rng.randrange(-(2**63), 2**63) for _ in range(3000)], np.int64)
+        assert neardup._is_marked(others, bits).mean() < (0.1 if most > 10 else 1.01)
+
+
 def test_components_in_one_task_and_by_stars(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
