@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths
 
@@ -31,9 +31,8 @@ def facts(views: DataFrame) -> DataFrame:
     c = F.col
     product = c("cls").isin(*paths.PRODUCT)
     src_product = F.coalesce(c("src_cls").isin(*paths.PRODUCT), F.lit(False))
-    deleted = F.collect_set(F.when(c("git") == "D", c("path")))
-    gone = views.groupBy("sha").agg(deleted.alias("_gone"))
-    v = views.join(gone, "sha")
+    # Over the partitions that the aggregation by commit needs anyway, so the views are made once.
+    v = views.withColumn("_gone", F.collect_set(F.when(c("git") == "D", c("path"))).over(Window.partitionBy("sha")))
     copied = (c("git") == "C") & (F.coalesce("similarity", F.lit(0)) < 100) & ~F.coalesce(F.array_contains("_gone", c("old_path")), F.lit(False))
     arrived = c("view_status").isin("added", "published") | copied
     item_in, item_out = c("is_item") & arrived, c("view_status").isin("deleted", "archived") & F.when(c("git") == "D", c("is_item")).otherwise(c("src_is_item"))

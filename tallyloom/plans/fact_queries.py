@@ -60,9 +60,12 @@ registered("file_view_status", f"WITH {VIEWS_SQL} SELECT sha, path, git, cls, sr
     lambda s, d: file_views(s, d).groupBy("sha", "path", "git", "cls", "src_cls", "view_status", "is_item", "src_is_item").agg(F.count("*").alias("n")))
 
 
-@registered("status_phrases", f"""WITH {VIEWS_SQL} SELECT CASE view_status WHEN 'renamed' THEN 'renamed from ' || old_path || CASE WHEN similarity < 100 THEN ' with changes' ELSE '' END || ' to ' || path WHEN 'copied' THEN 'copied from ' || old_path || CASE WHEN similarity < 100 THEN ' with changes' ELSE '' END || ' to ' || path
+PHRASE_SQL = """CASE view_status WHEN 'renamed' THEN 'renamed from ' || old_path || CASE WHEN similarity < 100 THEN ' with changes' ELSE '' END || ' to ' || path WHEN 'copied' THEN 'copied from ' || old_path || CASE WHEN similarity < 100 THEN ' with changes' ELSE '' END || ' to ' || path
 WHEN 'published' THEN CASE WHEN old_path IS NULL THEN 'published from a draft ' || path ELSE 'published from a draft ' || old_path || ' to ' || path END WHEN 'archived' THEN 'archived ' || old_path || ' to ' || path WHEN 'added' THEN CASE WHEN old_path IS NULL THEN 'added ' || path ELSE 'added ' || path || ' (moved in from ' || old_path || ')' END
-WHEN 'deleted' THEN CASE WHEN old_path IS NULL THEN 'deleted ' || path ELSE 'deleted ' || old_path || ' (moved out to ' || path || ')' END ELSE 'modified ' || path END AS phrase, count(*) AS n FROM v GROUP BY 1""")
+WHEN 'deleted' THEN CASE WHEN old_path IS NULL THEN 'deleted ' || path ELSE 'deleted ' || old_path || ' (moved out to ' || path || ')' END ELSE 'modified ' || path END"""
+
+
+@registered("status_phrases", f"WITH {VIEWS_SQL} SELECT {PHRASE_SQL} AS phrase, count(*) AS n FROM v GROUP BY 1")
 def status_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = file_views(spark, sf_dir)
     return v.groupBy(views.status_phrase(F.col("view_status"), F.col("path"), F.col("old_path"), F.col("similarity")).alias("phrase")).agg(F.count("*").alias("n"))

@@ -109,21 +109,41 @@ def cached_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.cached(c.select("sha"), cache, "k").agg(F.count("*").alias("commits"), F.sum(F.size("records")).alias("records"))
 
 
-@registered("files_state_text", f"WITH {FILES_SQL}, c AS (SELECT sha, count(*) FILTER (status = 'added') AS a, count(*) AS n FROM files GROUP BY sha) SELECT sha, n AS lines FROM c")
+def _files_sql() -> str:
+    from ..functions import paths
+    from .fact_queries import PHRASE_SQL, VIEWS_SQL
+
+    product = ", ".join(f"'{c}'" for c in paths.PRODUCT)
+    return f"""WITH {VIEWS_SQL}, l AS (SELECT sha, {PHRASE_SQL} || ' [' || cls || ']' AS line, cls, cls NOT IN ({product}) AS other FROM v),
+t AS (SELECT sha, list_sort(list({{'other': other, 'line': line, 'cls': cls}})) AS r FROM l GROUP BY sha),
+u AS (SELECT sha, list_transform(r, lambda x: x.line) AS every, list_transform(list_filter(r, lambda x: NOT x.other), lambda x: x.line) AS own, list_filter(r, lambda x: x.other) AS rest FROM t)
+SELECT sha, length(array_to_string(every, chr(10))) <= {FILES_CAP} AS whole, array_to_string(list_sort(CASE WHEN length(array_to_string(every, chr(10))) <= {FILES_CAP} THEN every ELSE list_append(own, 'and ' || len(rest) || ' non-product file(s) left out') END), chr(10)) AS lines FROM u"""
+
+
+#: Half of the commits are over it.
+FILES_CAP = 160
+
+
+@registered("files_state_text", _files_sql())
 def files_state_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line for each file of a commit, however its class and status read."""
+    """The lines of each commit's files field, with a cap that many commits pass; sorted, as the files of the table have no order, and
+    without the list of classes, which goes by that order."""
     from .fact_queries import file_views
 
-    f = derived.files(spark, sf_dir)
     v = file_views(spark, sf_dir).withColumn("file_no", F.monotonically_increasing_id())
-    text = state.files_text(v, 1 << 30).select("sha", F.size(F.split("files", "\n")).cast("bigint").alias("k"))
-    gone = f.groupBy("sha").agg(F.count("*").alias("n"))
-    snap = f.filter(F.col("path").rlike(r"(?i)(^|/)releases/v?[0-9]+(\.[0-9]+)*([-.][0-9a-z.]+)?/")).groupBy("sha").agg(F.count("*").alias("s"))
-    return gone.join(text, "sha", "left").join(snap, "sha", "left").select("sha", (F.coalesce("k", F.lit(0)) + F.coalesce("s", F.lit(0))).alias("lines"))
+    whole = F.length("everything") <= FILES_CAP
+    every = state.files_text(v, 1 << 30).withColumnRenamed("files", "everything")
+    text = state.files_text(v, FILES_CAP).join(every, "sha")
+    lines = F.sort_array(F.transform(F.split("files", "\n"), lambda x: F.regexp_replace(x, r"(left out): .*", "$1")))
+    return text.select("sha", whole.alias("whole"), F.array_join(lines, "\n").alias("lines"))
 
 
-@registered("report_document", f"WITH {COMMITS_SQL} SELECT count(*) AS commits, count(error) AS failed, count(DISTINCT week) AS weeks, count(DISTINCT author) AS authors, count(*) FILTER (kind = 'cap' AND error IS NULL) AS caps, sum(cap)::BIGINT AS cap FROM counted")
+@registered("report_document", f"""WITH {COMMITS_SQL}, w AS (SELECT week, sum(cap)::BIGINT AS cap, sum(fix)::BIGINT AS fix, sum(tend)::BIGINT AS tend FROM counted GROUP BY week), a AS (SELECT author, sum(cap)::BIGINT AS cap, sum(fix)::BIGINT AS fix, sum(tend)::BIGINT AS tend, min(seq) AS s FROM counted GROUP BY author)
+SELECT count(*) AS commits, count(error) = 0 AS complete, sum(cap)::BIGINT AS cap, (SELECT string_agg(week || ' ' || cap || ' ' || fix || ' ' || tend, ',' ORDER BY week) FROM w) AS weeks, (SELECT string_agg(author || ' ' || cap || ' ' || fix || ' ' || tend, ',' ORDER BY cap + fix + tend DESC, s) FROM a) AS authors,
+  md5(string_agg(name || ' ' || change || ' ' || substr(sha, 1, 7) || ' ' || author || ' ' || date_iso, ',' ORDER BY seq) FILTER (kind = 'cap' AND error IS NULL)) AS caps, md5(string_agg(substr(sha, 1, 7) || ' ' || error, ',' ORDER BY seq) FILTER (error IS NOT NULL)) AS failed FROM counted""")
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's parts as text, capabilities and failures as its digest."""
     r = tally.report(derived.commits(spark, sf_dir), "repo", "judge", "model", "90d")
-    size = lambda c: F.size(c).cast("bigint").alias(c)
-    return r.select("commits", size("failed"), size("weeks"), size("authors"), size("caps"), F.col("totals.cap").alias("cap"))
+    text = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *(x[n].cast("string") for n in names))), ",")
+    sums = ("cap", "fix", "tend")
+    return r.select("commits", "complete", F.col("totals.cap").alias("cap"), text("weeks", "week", *sums).alias("weeks"), text("authors", "author", *sums).alias("authors"), F.md5(text("caps", "name", "change", "sha", "author", "date")).alias("caps"), F.md5(text("failed", "sha", "error")).alias("failed"))

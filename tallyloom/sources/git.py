@@ -11,6 +11,7 @@ import re
 import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import Column, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -184,6 +185,37 @@ class GitTree(DataSource):
         return _TreeReader(self.options)
 
 
+class _FilesReader(_Reader):
+    def partitions(self):
+        names = sorted({x for x in git(self.path, "ls-files", "-z", "--cached", "--others", "--exclude-standard").split("\x00") if x})
+        return [_Range(i, names[i : i + PER_PARTITION]) for i in range(0, len(names), PER_PARTITION)] or [_Range(0, [])]
+
+    def read(self, partition):
+        for name in partition.shas:
+            file = Path(self.path) / name
+            if file.is_file() and not file.is_symlink():
+                yield self.repo, name, file.read_bytes().decode("utf-8", "replace")
+
+
+class GitFiles(DataSource):
+    """The files of a working tree, tracked ones and new ones that no ignore rule names; links left out: repo, path, text."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_files"
+
+    def schema(self) -> str:
+        return "repo string, path string, text string"
+
+    def reader(self, schema):
+        return _FilesReader(self.options)
+
+
+def tracked(path: str) -> list[str]:
+    """The paths that a repository tracks."""
+    return [x for x in git(path, "ls-files", "-z").split("\x00") if x]
+
+
 def register(spark) -> None:
-    for source in (GitLog, GitCommits, GitTree):
+    for source in (GitLog, GitCommits, GitTree, GitFiles):
         spark.dataSource.register(source)

@@ -70,6 +70,41 @@ def test_git_reads_odd_names_and_many_commits_at_once(spark, tmp_path):
     assert set(tree) == {"moved\tto.py", *names[1:]} and tree["umläut.md"] == "one\ntwo\n" and tree["plain.go"] == "one\n"
 
 
+def test_working_tree_leaves_ignored_files_out(spark, tmp_path):
+    run = lambda *args: subprocess.run(["git", "-C", str(tmp_path), *args], check=True, capture_output=True)
+    run("init", "-q")
+    for name, text in ((".gitignore", "out.py\n"), ("out.py", "x"), ("a b.py", "def f():\n    pass\n"), ("new.md", "é")):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "link.py").symlink_to("a b.py")
+    run("add", "a b.py")
+    git.register(spark)
+    got = {r["path"]: r["text"] for r in spark.read.format("git_files").option("path", str(tmp_path)).load().collect()}
+    assert got == {".gitignore": "out.py\n", "a b.py": "def f():\n    pass\n", "new.md": "é"}
+    assert analyze.repo_kind(spark, str(tmp_path)) == "code" and analyze.repo_kind(spark, str(tmp_path), "content") == "content"
+
+
+def test_stream_closes_weeks_and_leaves_late_commits_out(spark, tmp_path):
+    columns = "seq bigint, sha string, ts timestamp, records array<struct<kind:string,change:string,name:string,summary:string>>, error string"
+    fix = "array(named_struct('kind', 'fix', 'change', cast(null AS string), 'name', cast(null AS string), 'summary', 's'))"
+
+    def arrive(n, *days):
+        rows = spark.createDataFrame([(i, f"{n}{i}", d) for i, d in enumerate(days)], "seq bigint, sha string, d string")
+        rows.selectExpr("seq", "sha", "to_timestamp(d) AS ts", f"{fix} AS records", "cast(null AS string) AS error").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def drain():
+        q = weekly.weekly(spark.readStream.schema(columns).parquet(str(tmp_path / "in")), "7 days").writeStream.format("parquet").outputMode("append")
+        q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+
+    arrive("a", "2026-01-05", "2026-01-07", "2026-01-12")
+    drain()
+    arrive("b", "2026-02-02")
+    drain()
+    arrive("c", "2026-01-06", "2026-03-02")  # the first is weeks late: its week is closed
+    drain()
+    got = {r["week"]: (r["commits"], r["fix"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2026-01-05": (2, 2), "2026-01-12": (1, 1), "2026-02-02": (1, 1)}
+
+
 def test_a_judged_run_names_its_capability_and_refuses_secrets(spark, tmp_path):
     def run(*args):
         subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@x", *args], check=True, capture_output=True)
