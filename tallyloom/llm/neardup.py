@@ -76,7 +76,7 @@ def signatures(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, m: int) -
         while len(at):
             # Several draws at once where many are due; added up one by one, so that a point's time is the same number in every document.
             due = int(np.median((until[of[at]] - t) * m * wide[at]))
-            c = max(1, min(due, 64, 1_000_000 // len(at)))
+            c = max(1, min(due, 64, 400_000 // len(at)))
             with np.errstate(over="ignore"):
                 r = mix(seed[at][:, None] + np.arange(k + 1, k + c + 1, dtype=np.uint64)[None, :] * _GOLD)
             gaps = -np.log(((r >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / (m * wide[at])[:, None]

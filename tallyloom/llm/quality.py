@@ -14,7 +14,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -143,9 +142,11 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, rows: int = SAM
     if not n:
         return [(r.name, 0.0, 0.0) for r in rules]
 
-    def timed(frames):
-        for f in frames:
-            texts = list(f["text"])
+    schema = T.StructType([T.StructField("rule", T.StringType()), T.StructField("n", T.LongType()), T.StructField("out", T.LongType()), T.StructField("s", T.DoubleType())])
+
+    def timed(batches):
+        for f in batches:
+            texts = f.column(0).to_pylist()
             for a, z in texts_in_blocks(texts):
                 parsed = Block(texts[a:z])
                 everything = np.flatnonzero(parsed.n_words >= 0)
@@ -153,10 +154,10 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, rows: int = SAM
                     b = parsed.take(everything)
                     began = time.perf_counter()
                     out = r.fails(b)
-                    yield pd.DataFrame({"rule": [r.name], "n": [z - a], "out": [int(out.sum())], "s": [time.perf_counter() - began]})
+                    yield batch_of(schema, ([r.name], [z - a], [int(out.sum())], [time.perf_counter() - began]))
 
     some = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=min(1.0, rows / n), seed=seed)
-    found = {x["rule"]: x for x in some.mapInPandas(timed, "rule string, n long, out long, s double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("out").alias("out"), F.sum("s").alias("s")).collect()}
+    found = {x["rule"]: x for x in some.mapInArrow(timed, schema).groupBy("rule").agg(F.sum("n").alias("n"), F.sum("out").alias("out"), F.sum("s").alias("s")).collect()}
     return [(r.name, found[r.name]["s"] / found[r.name]["n"], found[r.name]["out"] / found[r.name]["n"]) if r.name in found else (r.name, 0.0, 0.0) for r in rules]
 
 
