@@ -173,11 +173,11 @@ def annotate(docs: DataFrame, *, support: int = SUPPORT, confidence: float = CON
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context for every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context and n_all (spans of every kind) for every document."""
     names = F.array(*map(F.lit, KINDS))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
-    return annotate(docs).select("doc_id", *(of(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(joined(F.filter("found", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), of(4).alias("n_context"))
+    return annotate(docs).select("doc_id", *(of(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(joined(F.filter("found", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), of(4).alias("n_context"), F.size("found").cast("long").alias("n_all"))
 
 
 def hidden(text: str, spans: list[tuple[int, int, int]]) -> str:

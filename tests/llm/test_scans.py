@@ -172,6 +172,7 @@ def test_pii_contexts_discover(spark):
         base = pii_base(t or "")
         assert out[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{e}" for k, a, e in base).encode()).hexdigest()
     assert out[8]["n_context"] == out[9]["n_context"] == 1 and out[10]["n_context"] == 0
+    assert all(r["n_all"] == sum(r[f"n_{k}"] for k in (*pii.KINDS[:4], "context")) for r in out.values())
     docs = documents(spark, texts)
     for carried in (10**6, -1):
         new = pii.redact(docs, carried=carried)
