@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from .common import F, stage
 
 # Verdict, host, path.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 SUPPORT, CONFIDENCE, LONGEST, ITEM, WIDE = 0.002, 0.9, 4, "=block", 14
 
 
