@@ -17,15 +17,12 @@ POLICY = str(Path(__file__).with_name("policy.json"))
 SNAP = "(?i)(^|/)releases/v?[0-9]+(\\.[0-9]+)*([-.][0-9a-z.]+)?/"
 
 
-def file_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+def file_views(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """Views of the derived files in a mixed repository; old paths and similarity come with the rows, there is no diff."""
-    # Dealt by commit before the costly classification: the aggregation by commit needs that shuffle anyway.
-    f = derived.files(spark, sf_dir).filter(~paths.is_snapshot(F.col("path"))).repartition("sha")
+    f = views.classified(derived.files(spark, sf_dir), by="sha" if dealt else None)
     f = f.withColumn("git", F.upper(F.substring("status", 1, 1)))
-    f = f.withColumn("cls", paths.classify(F.col("path"))).withColumn("src_cls", F.when(F.col("old_path").isNotNull(), paths.classify(F.col("old_path"))))
     none = F.lit(None).cast("array<string>")
-    f = f.withColumn("view_status", views.view_status(F.col("git"), F.col("cls"), F.col("src_cls"), none, none))
-    return f.withColumns({"is_item": paths.is_item(F.col("path"), F.col("cls"), None), "src_is_item": F.coalesce(paths.is_item(F.col("old_path"), F.col("src_cls"), None), F.lit(False))})
+    return f.withColumn("view_status", views.view_status(F.col("git"), F.col("cls"), F.col("src_cls"), none, none))
 
 
 _PROD = lambda x: _in(x, paths.PRODUCT)
@@ -67,7 +64,7 @@ WHEN 'deleted' THEN CASE WHEN old_path IS NULL THEN 'deleted ' || path ELSE 'del
 
 @registered("status_phrases", f"WITH {VIEWS_SQL} SELECT {PHRASE_SQL} AS phrase, count(*) AS n FROM v GROUP BY 1")
 def status_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = file_views(spark, sf_dir)
+    v = file_views(spark, sf_dir, dealt=False)
     return v.groupBy(views.status_phrase(F.col("view_status"), F.col("path"), F.col("old_path"), F.col("similarity")).alias("phrase")).agg(F.count("*").alias("n"))
 
 

@@ -10,3 +10,11 @@ def test_joins_by_commit_hold_no_table_in_the_driver(spark):
     df = analyze.commit_facts(fact_queries.raw_records(spark, DATA), "code")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_each_path_is_classified_once(spark):
+    """Rows look their class up: no pattern of the classification runs over them."""
+    df = fact_queries.file_views(spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pb2" not in plan and "lockfile" not in plan
+    assert df.count() > 5000
