@@ -115,7 +115,7 @@ def redact_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("residual_shapes", f"WITH {_PLANTED} SELECT doc_id, true AS token_before, false AS token_after, false AS shape_after FROM p")
 def residual_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the token planted in each, ``ya29.`` ones too, shows before redaction, and no token or shape afterwards."""
-    token = F.coalesce(F.col("text").rlike("|".join(redact.TOKENS)), F.lit(False))
+    token = redact.has_token(F.col("text"))
     p = planted(spark, sf_dir).withColumn("token_before", token)
     return redact.redact_values(p, "text").select("doc_id", "token_before", token.alias("token_after"), redact.has_shape(F.col("text")).alias("shape_after"))
 
