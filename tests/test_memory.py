@@ -24,7 +24,7 @@ def test_each_path_is_classified_once(spark):
     assert df.count() > 5000
 
 
-@pytest.mark.parametrize("query", ["boundary_delta_multiset", "symbol_delta_cancel"])
+@pytest.mark.parametrize("query", ["boundary_delta_multiset", "boundary_delta_rendered", "symbol_delta_cancel"])
 def test_deltas_sort_few_rows_in_a_task_whatever_the_input(spark, monkeypatch, query):
     """One shuffle and two sorts, and partitions as many as the rows ask for: 6,000 rows by 100."""
     monkeypatch.setattr(history_queries, "PARTITION_ROWS", 100)
