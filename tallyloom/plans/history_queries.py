@@ -154,7 +154,8 @@ _ENTRIES = """e AS (SELECT l_orderkey AS sha, CASE WHEN l_linestatus = 'O' THEN
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 2 = 1)"""
 
 
-#: Rows of ``lineitem`` in a partition of ``entries``. Their number of partitions grows with the rows, so what one task sorts doesn't.
+#: Rows of ``lineitem`` in a partition of ``entries``, as long as they make no more partitions than Spark writes without sorting (200 unless set):
+#: beyond, the tasks that write the shuffle would hold their whole part of the file. From there on partitions grow with the rows.
 PARTITION_ROWS = 250_000
 
 
@@ -164,7 +165,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     # Only the footers are read for the count. Bytes say less: repeated rows take a third of the space.
-    parts = max(spark.sparkContext.defaultParallelism, -(-li.count() // PARTITION_ROWS))
+    most = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    parts = max(spark.sparkContext.defaultParallelism, min(most, -(-li.count() // PARTITION_ROWS)))
     order = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     # The words are made after the sort, so it holds numbers. Nulls come last, as in the SQL.
     placed = li.select(F.col("l_orderkey").alias("sha"), *order).repartition(parts, "sha").withColumn("ord", F.row_number().over(Window.partitionBy("sha").orderBy(*map(F.asc_nulls_last, order))))

@@ -37,3 +37,9 @@ def test_entries_are_numbered_with_nulls_last(spark, tmp_path):
     row = "1L l_orderkey, {} l_partkey, 1L l_suppkey, 1 l_linenumber, 1D l_quantity, 1D l_extendedprice, 0D l_discount, 0D l_tax, 'A' l_returnflag, 'O' l_linestatus, timestamp_ntz'2001-01-01' l_shipdate"
     spark.sql("select " + row.format("cast(null as bigint)") + " union all select " + row.format("5L")).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r["name"], r["ord"]) for r in history_queries.entries(spark, str(tmp_path)).collect()} == {("n5", 1), (None, 2)}
+
+
+def test_shuffle_of_entries_is_written_without_sorting(spark, monkeypatch):
+    monkeypatch.setattr(history_queries, "PARTITION_ROWS", 10)
+    plan = history_queries.boundary_delta_multiset(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(sha#\d+L, (\d+)\)", plan) == ["200"]
